@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from framelight.llm.common import table
 from framelight.llm.fingerprints import edited_fingerprints
 from framelight.llm.line_dedup import drop_frequent_lines
+from framelight.llm.lm_scoring import score_documents
 from framelight.llm.sharding import shuffle_into_shards
+from framelight.llm.substring_dedup import drop_repeated_windows
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +20,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = F.sha2(F.encode("kept_text", "UTF-8"), 256)
+    return drop_repeated_windows(docs, window=13).select("doc_id", "n_words", "n_removed", kept.alias("kept_sha256"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
@@ -28,6 +36,24 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_documents(docs, F.crc32(F.col("doc_id").cast("string")) % 5 != 1)
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM d WHERE len(words) >= 13),
+grams AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS gram FROM starts),
+firsts AS (SELECT gram, min(doc_id) AS first_id FROM grams GROUP BY gram),
+hits AS (SELECT doc_id, i FROM grams JOIN firsts USING (gram) WHERE first_id < doc_id),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 13)) AS p FROM hits)),
+placed AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept_text, count(*) AS n FROM placed ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept_text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 OP5_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents
@@ -39,5 +65,11 @@ SELECT doc_id, count(*) AS n_lines, count(hot.key) AS n_dropped,
 FROM keyed LEFT JOIN hot USING (key) GROUP BY doc_id
 """
 
-QUERIES = {"op1_sharding": op1_sharding, "op5_line_dedup": op5_line_dedup, "op6_fingerprints": op6_fingerprints}
-ORACLE_SQL = {"op5_line_dedup": OP5_SQL}
+QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op2_substring_dedup": op2_substring_dedup,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_fingerprints": op6_fingerprints,
+    "op10_lm_scoring": op10_lm_scoring,
+}
+ORACLE_SQL = {"op2_substring_dedup": OP2_SQL, "op5_line_dedup": OP5_SQL}
