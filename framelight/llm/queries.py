@@ -7,6 +7,7 @@ from framelight.llm.common import table
 from framelight.llm.fingerprints import edited_fingerprints
 from framelight.llm.line_dedup import drop_frequent_lines
 from framelight.llm.lm_scoring import score_documents
+from framelight.llm.neighbours import nearest
 from framelight.llm.sharding import shuffle_into_shards
 from framelight.llm.substring_dedup import drop_repeated_windows
 
@@ -36,6 +37,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return score_documents(docs, F.crc32(F.col("doc_id").cast("string")) % 5 != 1)
@@ -70,6 +75,7 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op6_fingerprints": op6_fingerprints,
+    "op7_neighbours": op7_neighbours,
     "op10_lm_scoring": op10_lm_scoring,
 }
 ORACLE_SQL = {"op2_substring_dedup": OP2_SQL, "op5_line_dedup": OP5_SQL}
