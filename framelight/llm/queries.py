@@ -10,6 +10,7 @@ from framelight.llm.lm_scoring import score_documents
 from framelight.llm.neighbours import nearest
 from framelight.llm.sharding import shuffle_into_shards
 from framelight.llm.substring_dedup import drop_repeated_windows
+from framelight.llm.toxicity import fit, score_toxicity
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +42,14 @@ def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    model = fit(docs, table(spark, sf_dir, "labels"), fold != 0)
+    scored = score_toxicity(docs, model)
+    return scored.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return score_documents(docs, F.crc32(F.col("doc_id").cast("string")) % 5 != 1)
@@ -76,6 +85,7 @@ QUERIES = {
     "op5_line_dedup": op5_line_dedup,
     "op6_fingerprints": op6_fingerprints,
     "op7_neighbours": op7_neighbours,
+    "op9_toxicity": op9_toxicity,
     "op10_lm_scoring": op10_lm_scoring,
 }
 ORACLE_SQL = {"op2_substring_dedup": OP2_SQL, "op5_line_dedup": OP5_SQL}
