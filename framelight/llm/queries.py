@@ -7,6 +7,7 @@ from framelight.llm.common import table
 from framelight.llm.fingerprints import edited_fingerprints
 from framelight.llm.line_dedup import drop_frequent_lines
 from framelight.llm.lm_scoring import score_documents
+from framelight.llm.near_dedup import near_classes
 from framelight.llm.neighbours import nearest
 from framelight.llm.sharding import shuffle_into_shards
 from framelight.llm.substring_dedup import drop_repeated_windows
@@ -42,6 +43,10 @@ def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
@@ -85,6 +90,7 @@ QUERIES = {
     "op5_line_dedup": op5_line_dedup,
     "op6_fingerprints": op6_fingerprints,
     "op7_neighbours": op7_neighbours,
+    "op8_near_dedup": op8_near_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_lm_scoring": op10_lm_scoring,
 }
