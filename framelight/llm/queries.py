@@ -7,8 +7,10 @@ from framelight.llm.common import table
 from framelight.llm.fingerprints import edited_fingerprints
 from framelight.llm.line_dedup import drop_frequent_lines
 from framelight.llm.lm_scoring import score_documents
+from framelight.llm.mixing import mix_sources
 from framelight.llm.near_dedup import near_classes
 from framelight.llm.neighbours import nearest
+from framelight.llm.packing import pack
 from framelight.llm.sharding import shuffle_into_shards
 from framelight.llm.substring_dedup import drop_repeated_windows
 from framelight.llm.toxicity import fit, score_toxicity
@@ -29,6 +31,15 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_windows(docs, window=13).select("doc_id", "n_words", "n_removed", kept.alias("kept_sha256"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix_sources(docs).select("doc_id", "source", "weight", "n_tokens", "epoch", "place")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
@@ -87,6 +98,8 @@ FROM keyed LEFT JOIN hot USING (key) GROUP BY doc_id
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_mixing": op3_mixing,
+    "op4_packing": op4_packing,
     "op5_line_dedup": op5_line_dedup,
     "op6_fingerprints": op6_fingerprints,
     "op7_neighbours": op7_neighbours,
