@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from framelight.functions.text import casefold, clean_text, is_noise_name
-from framelight.functions.urls import bare, canonical_listing_url, is_paginated, same_origin
+from framelight.functions.urls import bare, canonical_listing_url, is_paginated, match_url, same_origin
 from framelight.sources.html import structured_products
 
 # Patterns that tell page furniture, recommendations, product cards, files and actions.
@@ -154,6 +154,22 @@ def scrape(nodes: DataFrame, strict: bool = True) -> DataFrame:
     return enriched(dom_products(nodes, strict), structured_products(nodes))
 
 
+def single_products(nodes: DataFrame) -> DataFrame:
+    """The product of each page that is a product's own: of its structured data the one with the page's address, else the first; without any the
+    first heading and the page's preview image; else the first image that the non-strict extraction finds. Pages with none give no row."""
+    pages = nodes.select("page_id", "url").distinct()
+    told = structured_products(nodes).join(pages, "page_id")
+    told = told.select("page_id", (match_url(F.col("product_url")) != match_url(F.col("url"))).cast("int").alias("far"), "at", "name", "image_url", F.coalesce("product_url", "url").alias("product_url"), F.lit("single_product_jsonld").alias("source"), F.lit("high").alias("sure"), F.lit(0).alias("way"))
+    heading = nodes.filter("tag = 'h1'").groupBy("page_id").agg(F.min_by(clean_text(F.col("text")), "id").alias("h1"))
+    preview = nodes.filter("tag = 'meta' AND attrs['property'] = 'og:image'").groupBy("page_id", "url").agg(F.min_by(F.col("attrs")["content"], "id").alias("content")).filter("content <> ''").join(heading, "page_id", "left")
+    none = F.lit(0).cast("long")
+    preview = preview.select("page_id", F.lit(0).alias("far"), none.alias("at"), F.coalesce(F.nullif("h1", F.lit("")), F.lit("Unnamed product")).alias("name"), absolute("url", "content").alias("image_url"), F.col("url").alias("product_url"), F.lit("single_product_og").alias("source"), F.lit("medium").alias("sure"), F.lit(1).alias("way"))
+    seen = dom_products(nodes, strict=False).join(pages, "page_id").join(heading, "page_id", "left")
+    seen = seen.select("page_id", F.lit(0).alias("far"), F.col("pos").cast("long").alias("at"), F.coalesce(F.nullif("h1", F.lit("")), "name").alias("name"), "image_url", F.coalesce("product_url", "url").alias("product_url"), F.lit("single_product_dom").alias("source"), F.lit("medium").alias("sure"), F.lit(2).alias("way"))
+    best = told.unionByName(preview).unionByName(seen).groupBy("page_id").agg(F.min(F.struct("way", "far", "at", "name", "image_url", "product_url", "source", "sure")).alias("b"))
+    return best.select("page_id", "b.name", "b.image_url", "b.product_url", "b.source", F.col("b.sure").alias("page_membership_confidence"), F.lit("explicit_product_page").alias("page_membership_method"))
+
+
 def page_contexts(nodes: DataFrame) -> DataFrame:
     """page_id and page_context: address, title, three h1 and eight breadcrumbs or collection titles at most, each text once."""
     a, text = F.col("attrs"), clean_text(F.col("text"))

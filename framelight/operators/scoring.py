@@ -34,9 +34,9 @@ def peer_baselines(items: DataFrame, page: str = "page_id") -> DataFrame:
     ))).drop("own", "wide")
 
 
-def issues(m: Column, name: Column, peer: Column, ratio: Column, frame: Column, fix: Column, fixed: Column, scale_tolerance: float, alignment_tolerance: float) -> Column:
+def issues(m: Column, name: Column, peer: Column, ratio: Column, frame: Column, fix: Column, fixed: Column, scale_tolerance: float, alignment_tolerance: float, alone: bool = False) -> Column:
     """Issue texts in order. fixed: array of the shifts' percentages with one decimal. Later checks keep silent about what an
-    earlier one has said, but for the last two."""
+    earlier one has said, but for the last two; for a product alone (``alone``) all speak."""
     suspect = m["segmentation_suspect"]
     peers = peer["count"] >= 2
     out_of_scale = peers & ((ratio < 1.0 - scale_tolerance) | (ratio > 1.0 + scale_tolerance))
@@ -51,10 +51,10 @@ def issues(m: Column, name: Column, peer: Column, ratio: Column, frame: Column,
     tells_line = ~suspect & frame["off_line"] & ~off_line
     canonical_line = F.when(tells_line, F.when(frame["bottom"], "Primary-body baseline is clearly outside the expected framing range").otherwise("Primary-body vertical centering is clearly outside the expected framing range"))
     visibly = lambda word, amount, size: F.concat(F.lit(f"Normalizer would visibly {word} this product by about "), percent(amount), F.lit(f"; the source framing is too {size} on the catalog card"))
-    resize = F.when(~suspect & (fix["resize"] != 0) & ~out_of_scale & ~tells_size, F.when(fix["resize"] > 0, visibly("enlarge", fix["scale"] - 1.0, "small")).otherwise(visibly("reduce", 1.0 - fix["scale"], "large")))
+    resize = F.when(~suspect & (fix["resize"] != 0) & ~out_of_scale & (F.lit(alone) | ~tells_size), F.when(fix["resize"] > 0, visibly("enlarge", fix["scale"] - 1.0, "small")).otherwise(visibly("reduce", 1.0 - fix["scale"], "large")))
     move = lambda way, i, side: F.concat(F.lit("Normalizer would move the product "), way, F.lit(" by about "), fixed[i], F.lit(f"% of the card {side}"))
     move_x = F.when(~suspect & fix["move_x"], move(F.when(fix["x_shift"] > 0, "right").otherwise("left"), 0, "width"))
-    move_y = F.when(~suspect & fix["move_y"] & ~off_line & ~tells_line, F.concat(move(F.when(fix["y_shift"] > 0, "down").otherwise("up"), 1, "height"), F.lit(" to correct its "), fix["toward"]))
+    move_y = F.when(~suspect & fix["move_y"] & ~off_line & (F.lit(alone) | ~tells_line), F.concat(move(F.when(fix["y_shift"] > 0, "down").otherwise("up"), 1, "height"), F.lit(" to correct its "), fix["toward"]))
     aside = F.when(m["center_offset_x"] > alignment_tolerance, F.concat(F.lit("Primary product body is shifted too far "), F.when(m["center_x"] > 0.5, "right").otherwise("left")))
     edge = F.when(m["min_edge_padding"] < 0.012, "Full product/accessory extent is touching or nearly touching the image edge")
     return F.array_compact(F.array(F.when(suspect, SUSPECT), zoom, line, canonical, canonical_line, resize, move_x, move_y, aside, edge))
@@ -92,6 +92,20 @@ def score_items(items: DataFrame, scale_tolerance: float = 0.18, alignment_toler
     )
 
 
+def score_single(items: DataFrame, scale_tolerance: float = 0.18, alignment_tolerance: float = 0.055, mode: str = "standard") -> DataFrame:
+    """Products scanned by themselves (metrics, profile, subtype, item_category): against the standard and the normaliser only."""
+    m, name, kind, category = F.col("metrics"), F.col("profile"), F.col("subtype"), F.col("item_category")
+    nobody = F.struct(F.lit(0).alias("count"), F.lit(0.0).alias("line"), F.lit(0.0).alias("align_median"), F.lit("").alias("align_axis"))
+    rows = items.withColumn("goal", standard(name, category, kind, mode)).withColumn("card", once(on_card(m)))
+    rows = rows.withColumn("frame", once(framing(m, name, kind, F.col("goal"), scale_tolerance, alignment_tolerance, mode))).withColumn("fix", once(agreement(m, F.col("card"), category, kind, F.col("goal"), mode)))
+    frame, fix = F.col("frame"), F.col("fix")
+    rows = rows.withColumn("shift_texts", F.array(python_fixed(F.abs(fix["x_shift"]) * 100, F.lit(1)), python_fixed(F.abs(fix["y_shift"]) * 100, F.lit(1))))
+    rows = rows.withColumn("issues", issues(m, name, nobody, F.lit(1.0), frame, fix, F.col("shift_texts"), scale_tolerance, alignment_tolerance, alone=True))
+    cost = lambda most, x: F.least(F.lit(most), F.abs(x))
+    score = F.lit(100.0) - cost(28.0, (frame["ratio"] - 1.0) * 70.0) - cost(22.0, fix["scale_delta"] * 120.0) - cost(18.0, fix["x_shift"] * 180.0) - cost(18.0, fix["y_shift"] * 180.0) - F.when(m["segmentation_suspect"], 25.0).otherwise(0.0)
+    return rows.select(*items.columns, F.lit("single_product::canonical").alias("comparison_group"), F.lit(1.0).alias("scale_ratio"), frame["ratio"].alias("canonical_scale_ratio"), fix["scale"].alias("normalizer_recommended_scale"), "issues", F.when(F.size("issues") > 0, "review").otherwise("pass").alias("status"), F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)).alias("consistency_score"))
+
+
 def summarise(analyzed: Column, flagged: Column, failed: Column) -> list[Column]:
     """scan_status, page_score and confidence of counts; none may be negative, nor more flagged than analyzed."""
     zero = F.lit(0).cast("long")

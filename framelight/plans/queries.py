@@ -7,7 +7,7 @@ from framelight.functions.fixed_values import ANCHOR_POLICY, CATEGORY_PROFILE, C
 from framelight.operators.gate import dedupe_candidates, gated
 from framelight.operators.audit import FIXES, OTHER_FIX, audit_rows, decide, export, hierarchy, issue_level, latest_decisions, suggested_fix, upsert
 from framelight.operators.review import calibration, edit_history, exception_suggestions, number_pages, unique_names
-from framelight.operators.scoring import page_summary, peer_baselines, score_items
+from framelight.operators.scoring import page_summary, peer_baselines, score_items, score_single
 from framelight.functions.urls import canonical_http_url, canonical_listing_url, is_paginated, is_public_literal, page_number
 from framelight.plans.catalog import CATALOG_SQL, analysed, catalog
 
@@ -325,3 +325,11 @@ def source_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals by page and source."""
     rows = analysed(catalog(spark, sf_dir)).withColumn("source", F.when(F.col("pos") % 2 == 0, "dom").otherwise("jsonld"))
     return rows.groupBy("page_id", "source").agg(F.count(F.lit(1)).alias("n"), F.count("item_category").alias("known"))
+
+
+@query(f"""WITH {SCORED_SQL} SELECT pos, round(greatest(0.0, least(100.0, 100.0 - least(28.0, abs(frame_ratio - 1) * 70) - least(22.0, abs(fix_scale - 1) * 120) - least(18.0, abs(x_shift) * 180) - least(18.0, abs(y_shift) * 180) - CASE WHEN suspect THEN 25.0 ELSE 0.0 END)), 4) AS consistency_score,
+CAST(CASE WHEN suspect THEN 1 ELSE (frame_ratio < 1.0 - tolerance OR frame_ratio > 1.0 + tolerance)::INT + f_frame::INT + f_fix::INT + (abs(x_shift) > 0.028)::INT + (abs(y_shift) > 0.028)::INT END + (off_x > 0.055)::INT + (edge < 0.012)::INT AS INT) AS n_issues FROM scored""")
+def single_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item scored by itself."""
+    rows = score_single(analysed(catalog(spark, sf_dir)))
+    return rows.select("pos", F.round("consistency_score", 4).alias("consistency_score"), F.size("issues").alias("n_issues"))

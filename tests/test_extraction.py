@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from framelight.operators.extraction import best_of_srcset, crawl, dom_products, enriched, page_contexts, pagination_links, scrape
+from framelight.operators.extraction import best_of_srcset, crawl, dom_products, enriched, page_contexts, pagination_links, scrape, single_products
 from framelight.operators.review import number_pages
 from framelight.sources.html import page_nodes, structured_products
 
@@ -55,3 +55,12 @@ def test_contexts_and_pages(spark, nodes):
 @pytest.mark.parametrize(("srcset", "best"), [("a.png 100w, b.png 300w", "b.png"), ("a.png 1x, b.png 2x", "b.png"), ("a.png, b.png", "a.png"), ("a.png 2x, b.png 900w", "a.png"), ("", None), ("a.png bad, b.png 2w", "b.png")])
 def test_srcset(spark, srcset, best):
     assert spark.range(1).select(best_of_srcset(F.lit(srcset))).first()[0] == best
+
+
+def test_single_products(spark, nodes):
+    pages = [
+        (1, "https://x.example/p/two?a=1", '<script type="application/ld+json">[{"@type":"Product","name":"One","image":"1.png"},{"@type":"Product","name":"Two","image":"2.png","url":"/p/two/"}]</script>'),
+        (2, "https://x.example/p/3", '<h1> Big  Oven </h1><meta property="og:image" content="/o.png"><img src="/z.png">'), (3, "https://x.example/p/4", '<img src="/a.png" alt="Nice kettle">'), (4, "https://x.example/p/5", "<p>nothing</p>"),
+    ]
+    got = {r.page_id: (r.name, r.image_url[-5:], r.source) for r in single_products(page_nodes(spark.createDataFrame(pages, "page_id long, url string, html string"))).collect()}
+    assert got == {1: ("Two", "2.png", "single_product_jsonld"), 2: ("Big Oven", "o.png", "single_product_og"), 3: ("Nice kettle", "a.png", "single_product_dom")}
