@@ -11,7 +11,9 @@ BANDS bands; texts that agree in a band are candidates (at similarity 0.8 all bu
 Candidates are verified by their exact weighted Jaccard similarity:
 
 1. in each bucket (band and value) every text against the bucket's least one; the links' components are found;
-2. in buckets that still hold several components, the texts outside the largest against all texts of other
+2. in buckets that still hold several components, up to TURNS times, the texts outside the largest against a few texts of
+   it, others each time, as long as that finds links enough: work in proportion to the texts left over;
+3. what is still apart then, block by block: the texts outside a bucket's largest component against all texts of other
    components. So each pair of candidates is either in one component or has been compared.
 
 Groups of comparisons are salted: a text that thousands are compared with is sent to as many tasks as they need.
@@ -38,7 +40,9 @@ CELLS = 1 << 18
 PARTS = 64  # of the table of document frequencies
 PRIOR = 1000  # documents without any shingle, so that a small corpus has no common ones
 LOW = np.uint64((1 << 52) - 1)
-GROUP = 500  # texts compared with one text in one task
+TURNS, PIVOTS = 6, 4
+WORTH = 0.05  # links for each comparison, below which no further turn is made
+GROUP = 200  # texts compared with one text in one task
 
 
 def gamma2_quantiles(n: int = 1 << 16) -> np.ndarray:
@@ -175,18 +179,77 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: flo
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of links' (a, b) nodes: the least node of each component, by spreading labels and jumping along them."""
-    labels = settle(links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other"))).groupBy("node").agg(F.min(F.least("node", "other")).alias("label")))
+    both = settle(links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other"))))
+    labels = settle(both.groupBy("node").agg(F.least("node", F.min("other")).alias("label")))
     while True:
-        of = lambda c, d: links.join(labels, F.col(c) == F.col("node")).select(F.col(d).alias("node"), "label")
-        spread = labels.unionByName(of("a", "b")).unionByName(of("b", "a")).groupBy("node").agg(F.min("label").alias("label"))
+        told = both.join(labels, "node").select(F.col("other").alias("node"), "label", F.lit(None).cast("binary").alias("old"))
+        spread = labels.select("node", "label", F.col("label").alias("old")).unionByName(told).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        new = settle(spread.join(jump, "label", "left").select("node", F.least("label", "next").alias("label")))
-        same = new.join(labels.withColumnRenamed("label", "old"), "node").filter("label <> old").isEmpty()
-        labels = new
+        new = settle(spread.join(jump, "label", "left").select("node", F.least("label", "next").alias("label"), "old"))
+        same = new.filter("label <> old").isEmpty()
+        labels = new.select("node", "label")
         if same:
             return labels
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after further links: the components of components."""
+    of = lambda c: F.coalesce(F.col(f"{c}_label"), F.col(c))
+    named = lambda df, c: df.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")), c, "left")
+    ends = settle(named(named(links, "a"), "b").select(of("a").alias("a"), of("b").alias("b")).filter("a <> b").distinct())
+    moved = components(ends)
+    old = labels.unionByName(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("label")))
+    return settle(old.join(moved.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+
+
+def mixed_buckets(banded: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (band, node, label, top, n, n_minor) of the buckets that hold several components: top is the largest one's label."""
+    placed = banded.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    parts = placed.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
+    largest = parts.groupBy("band").agg(F.max(F.struct("n", "label")).alias("best"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    return placed.join(largest.select("band", F.col("best.label").alias("top"), "n", (F.col("n") - F.col("best.n")).alias("n_minor")), "band")
+
+
+def pivots(mixed: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) that join most of what belongs together: buckets are dealt into parts of about 64 texts, anew each turn, and the texts outside
+    the largest component are paired with one of it in their part, PIVOTS pairs at most for each text."""
+    rank = F.xxhash64(F.lit(turn), "node")
+    rows = mixed.select("band", F.pmod(F.xxhash64(F.lit(-turn), "node"), F.ceil(F.col("n") / 64)).alias("part"), "node", rank.alias("rank"), (F.col("label") == F.col("top")).alias("major"))
+    chosen = rows.filter("major").groupBy("band", "part").agg(F.min(F.struct("rank", "node")).alias("pivot")).select("band", "part", F.col("pivot.node").alias("a"))
+    pairs = rows.filter("NOT major").join(chosen, ["band", "part"]).select("a", F.col("node").alias("b")).distinct()
+    few = pairs.groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.xxhash64(F.lit(turn), "a").alias("rank"), "a"))), 1, PIVOTS).alias("few"))
+    return few.select(F.explode("few").alias("pair"), "b").select("pair.a", "b")
+
+
+def crossed(mixed: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """All links (a, b) between a bucket's components, where a is outside the largest, in blocks of texts against blocks of texts.
+    texts: node, text, bands. Texts that agree in several bands are compared in the first."""
+    minor_blocks, blocks = F.ceil(F.col("n_minor") / 128).cast("int"), F.ceil(F.col("n") / 256).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    minor = mixed.filter("label <> top").select("band", own(minor_blocks).alias("x"), each(blocks).alias("y"), "node", "label", F.lit(True).alias("is_a"), F.lit(False).alias("major"))
+    every = mixed.select("band", each(minor_blocks).alias("x"), own(blocks).alias("y"), "node", "label", F.lit(False).alias("is_a"), (F.col("label") == F.col("top")).alias("major"))
+
+    def compare(group: pa.Table) -> pa.Table:
+        is_a = group["is_a"].to_numpy()
+        left, right = group.filter(pa.array(is_a)), group.filter(pa.array(~is_a))
+        band = group["band"][0].as_py()
+        bands = [np.array(side["bands"].to_pylist(), np.int64).reshape(-1, BANDS) for side in (left, right)]
+        sets = [weighted(flat(side["text"]), idf) for side in (left, right)]
+        ends, nodes, labels, major = [], [side["node"].to_pylist() for side in (left, right)], [side["label"].to_pylist() for side in (left, right)], right["major"].to_pylist()
+        for i in range(left.num_rows):
+            if not right.num_rows:
+                break
+            same = bands[1] == bands[0][i]
+            here = bands[0][i][same.argmax(1)] == band
+            for j in np.flatnonzero(here).tolist():
+                if labels[0][i] != labels[1][j] and (major[j] or nodes[0][i] < nodes[1][j]) and jaccard(sets[0][i], sets[1][j]) >= threshold:
+                    ends.append((nodes[0][i], nodes[1][j]))
+        return pa.table({"a": pa.array([a for a, _ in ends], pa.binary()), "b": pa.array([b for _, b in ends], pa.binary())})
+
+    return minor.unionByName(every).join(texts, "node").groupBy("band", "x", "y").applyInArrow(compare, "a binary, b binary").distinct()
+
+
 def node_of(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
@@ -204,26 +267,31 @@ def near_classes(df: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc
     signed = settle(rows.select("node", "text").mapInArrow(sign, "node binary, bands array<long>").dropDuplicates(["node"]))
     banded = signed.filter(F.col("bands")[0] != 0).select("node", F.explode("bands").alias("band"))
     heads = banded.groupBy("band").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "a")
-    pairs = settle(banded.join(heads, "band").filter("node <> a").select("a", F.col("node").alias("b")).distinct())
-    # a text of each node: of its rows those of the least id, of which any will do
-    first = rows.groupBy("node").agg(F.min("id").alias("first_id"))
-    wanted = lambda p: p.select(F.col("a").alias("node")).unionByName(p.select(F.col("b").alias("node"))).distinct().join(first, "node")
-    texts = lambda p: rows.join(wanted(p), "node").filter(F.col("id").eqNullSafe(F.col("first_id"))).select("node", "text").dropDuplicates(["node"])
-    links = settle(verified(pairs, texts(pairs), idf, threshold))
+    shared = settle(banded.join(heads, "band"))
+    # the texts of all nodes that are ever compared: of a node's rows those of the least id, of which any will do
+    first = settle(rows.groupBy("node").agg(F.min("id").alias("first_id")))
+    wanted = shared.select("node").distinct().join(first, "node").join(signed, "node")
+    texts = settle(rows.join(wanted, "node").filter(F.col("id").eqNullSafe(F.col("first_id"))).select("node", "text", "bands").dropDuplicates(["node"]))
+    pairs = settle(shared.filter("node <> a").select("a", F.col("node").alias("b")).distinct())
+    banded = shared.select("band", "node")
+    links = settle(verified(pairs, texts.select("node", "text"), idf, threshold))
     labels = components(links)
-    # buckets that hold several components
-    placed = banded.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    parts = placed.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
-    largest = parts.groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("band", F.col("top.label").alias("top"))
-    mixed = settle(placed.join(largest, "band"))
-    minor = mixed.filter("label <> top").select("band", F.col("node").alias("a"), F.col("label").alias("a_label"))
-    other = mixed.select("band", F.col("node").alias("b"), F.col("label").alias("b_label"), (F.col("label") == F.col("top")).alias("major"))
-    more = minor.join(other, "band").filter("a_label <> b_label AND (major OR a < b)").select("a", "b").distinct()
-    more = settle(more.join(pairs, ["a", "b"], "left_anti").join(pairs.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        found = settle(verified(more, texts(more), idf, threshold))
+    for turn in range(1, TURNS + 1):
+        mixed = settle(mixed_buckets(banded, labels))
+        pairs = settle(pivots(mixed, turn))
+        if pairs.isEmpty():
+            break
+        found = settle(verified(pairs, texts.select("node", "text"), idf, threshold))
+        n_found = found.count()
+        if n_found:
+            labels = merged(labels, found)
+        if n_found < WORTH * pairs.count():
+            break
+    mixed = settle(mixed_buckets(banded, labels))
+    if not mixed.isEmpty():
+        found = settle(crossed(mixed, texts, idf, threshold))
         if not found.isEmpty():
-            labels = components(settle(links.unionByName(found)))
+            labels = merged(labels, found)
     nodes = first.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     class_ids = nodes.groupBy("label").agg(F.min("first_id").alias("class_id"))
     nodes = nodes.join(class_ids, "label").select("node", "class_id")

@@ -21,7 +21,6 @@ table gives no rows.
 """
 
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framelight.llm.words import flat, scan, slices
+from framelight.llm.words import Words, flat, scan, slices
 
 DECAY, SPAN = 0.85, 7
 FLOORS = 1e-4, 1e-3, 1e-2  # shares of clean words whose values may count
@@ -149,19 +148,20 @@ def train(texts: pa.Array, toxic: np.ndarray, landmarks: int = 192, max_sentence
         odds = np.log(max(share, 1e-9) / max(1 - share, 1e-9))
         return Model(np.zeros(TABLE, np.float32), 0.0, np.array([0, 0, 0, odds]))
     rng = np.random.default_rng(seed)
-    # words, and in how many documents of either kind they are
-    held = {True: Counter(), False: Counter()}
-    strip = lambda word: word.strip(b".,;:!?\"'()[]").lower()
-    for text, y in zip(texts, toxic, strict=True):
-        held[bool(y)].update({strip(w) for w in text.as_buffer().to_pybytes().split()} - {b""})
+    # words by hash, and in how many documents of either kind they are
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
-    odd = lambda w: np.log((held[True][w] + 0.1) / (n1 + 1)) - np.log((held[False][w] + 0.1) / (n0 + 1))
-    need = max(2, round(0.002 * n1))
-    told = sorted((w for w, c in held[True].items() if c >= need and 4 <= len(w) <= 24), key=lambda w: (-odd(w) * np.sqrt(held[True][w]), w))
-    signs = {w for w in told if odd(w) > 2.5}
-    usual = sorted((w for w in held[False] if 4 <= len(w) <= 24), key=lambda w: (-held[False][w], w))[:4000]
-    usual = [usual[i] for i in rng.permutation(len(usual))[: landmarks // 3]]
-    chosen = list(dict.fromkeys([*told[: landmarks - len(usual)], *usual]))
+    (bad, n_bad), (good, n_good) = (np.unique(np.concatenate([h for i, h in document_words(texts) if toxic[i] == kind]), return_counts=True) for kind in (True, False))
+    at = np.minimum(np.searchsorted(good, bad), max(0, len(good) - 1))
+    elsewhere = np.where(good[at] == bad, n_good[at], 0) if len(good) else np.zeros(len(bad))
+    odds = np.log((n_bad + 0.1) / (n1 + 1)) - np.log((elsewhere + 0.1) / (n0 + 1))
+    enough = np.flatnonzero(n_bad >= max(2, round(0.002 * n1)))
+    enough = enough[np.argsort(-odds[enough] * np.sqrt(n_bad[enough]), kind="stable")]
+    usual = good[np.argsort(-n_good, kind="stable")[:4000]]
+    usual = usual[rng.permutation(len(usual))[: landmarks // 3]]
+    told = bad[enough[: landmarks - len(usual)]]
+    spelled = spellings(texts, np.concatenate([told, usual, bad[enough[odds[enough] > 2.5]]]))
+    signs = {spelled[h] for h in bad[enough[odds[enough] > 2.5]].tolist()}
+    chosen = list(dict.fromkeys(spelled[h] for h in [*told.tolist(), *usual.tolist()]))
     # landmarks' features, on the subsequences that any of them has
     marks = chosen
     joined = np.frombuffer(b" ".join(marks), np.uint8)
@@ -183,7 +183,7 @@ def train(texts: pa.Array, toxic: np.ndarray, landmarks: int = 192, max_sentence
         for sentence in _sentences(texts[int(i)].as_buffer().to_pybytes()):
             if not toxic[i]:
                 clean.append(sentence)
-            elif any(strip(w) in signs for w in sentence.split()):
+            elif any(NO_LETTER.sub(b"", w.lower()) in signs for w in sentence.split()):
                 marked.append(sentence)
             else:
                 other.append(sentence)
@@ -211,6 +211,36 @@ def train(texts: pa.Array, toxic: np.ndarray, landmarks: int = 192, max_sentence
     return best[1]
 
 
+NO_LETTER = re.compile(rb"[^a-z\x80-\xff]")
+
+
+def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, Words]:
+    """Words of 4 to 24 letters: hash, document, and place among the letters."""
+    data, start, end, doc, _ = pieces(texts)
+    fit = (end - start >= 4) & (end - start <= 24)
+    words = Words(data, start[fit], end[fit], start[fit], doc[fit])
+    return words.hashes(fold=True), doc[fit], words
+
+
+def document_words(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each text the different words of 4 to 24 letters, by hash."""
+    for low, high in slices(texts):
+        h, doc, _ = hashed(texts.slice(low, high - low))
+        at = np.searchsorted(doc, np.arange(high - low + 1))
+        yield from ((low + i, np.unique(h[at[i] : at[i + 1]])) for i in range(high - low))
+
+
+def spellings(texts: pa.Array, wanted: np.ndarray) -> dict[int, bytes]:
+    """The words of these hashes, lower case in A-Z."""
+    out, wanted = {}, np.unique(wanted)
+    for low, high in slices(texts):
+        h, _, words = hashed(texts.slice(low, high - low))
+        h, first = np.unique(h, return_index=True)
+        for i in np.flatnonzero(np.isin(h, wanted)).tolist():
+            out.setdefault(int(h[i]), words.data[words.start[first[i]] : words.end[first[i]]].tobytes().lower())
+    return out
+
+
 def _sentences(text: bytes) -> list[bytes]:
     """As pieces() cuts them: after a word that ends in . ! or ? and at line ends."""
     return [part for line in text.split(b"\n") for part in re.split(rb"(?<=[.!?])[\x20\t\x0b-\r]+", line) if part.strip()]
@@ -220,8 +250,8 @@ def _features(sentences: list[bytes], active: np.ndarray, f: int, project: np.nd
     where = np.full(TABLE, -1, np.int64)
     where[active] = np.arange(f)
     out = np.zeros((len(sentences), project.shape[1]))
-    for low in range(0, len(sentences), 500):
-        texts = pa.array([s.decode("utf-8", "replace") for s in sentences[low : low + 500]])
+    for low in range(0, len(sentences), 64):
+        texts = pa.array([s.decode("utf-8", "replace") for s in sentences[low : low + 64]])
         data, start, end, doc, _ = pieces(texts)
         if not len(start):
             continue
@@ -238,7 +268,7 @@ def _features(sentences: list[bytes], active: np.ndarray, f: int, project: np.nd
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_toxic: int = 3000, max_clean: int = 5000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_toxic: int = 2000, max_clean: int = 3000) -> Model:
     """learn: a condition on labels' rows. At most max_toxic + max_clean documents come to the driver."""
     told = labels.filter(learn & F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).alias("y"))
     told = told.withColumn("h", F.xxhash64(F.lit(4), "id"))
