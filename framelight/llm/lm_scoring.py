@@ -1,7 +1,8 @@
 """Language-model scores by deleted interpolation (Jelinek-Mercer) of a word bigram model.
 
 The probability of a word w after v is  l2(b) c(vw)/c(v) + l1(b) c(w)/N + l0(b) / (V+1),  where the mixture
-weights l depend on the context's frequency bucket b = 1 + floor(log2 c(v)), or 0 for a context never seen. A part of
+weights l depend on the context's frequency bucket b = 1 + floor(log2 c(v)), or 0 for a context never seen, in which l2 is 0
+and the others fill its place, so that probabilities sum to 1 after every word. A part of
 the training documents (one in ``deleted``) is left out of the counts, and expectation-maximisation finds the weights that suit
 that part best. Scores then use the counts of all training documents with those weights.
 
@@ -12,7 +13,7 @@ ratios of probabilities in steps of 1/8 (half a step off at most); probabilities
 N-grams are told apart by 64-bit hashes.
 
 Defined cases: null is the empty text, which is one token, the end; with no training documents c is 0
-throughout; ids may repeat or be null (null ids are training documents); an empty table gives no rows.
+throughout and every token has the probability 1 / (V+1) = 1; ids may repeat or be null (null ids are training documents); an empty table gives no rows.
 """
 
 import math
@@ -81,6 +82,8 @@ def weights(table: np.ndarray, rounds: int = 60) -> np.ndarray:
     lam = np.tile(learn(p, n) if n.sum() else np.full(3, 1 / 3), (64, 1))
     for b in np.unique(bucket):
         lam[b] = learn(p[bucket == b], n[bucket == b])
+    lam[0, 0] = 0
+    lam[0] /= lam[0].sum()
     return lam
 
 
@@ -156,7 +159,7 @@ def score_documents(df: DataFrame, training: Column, doc_id: str = "doc_id", tex
         at = np.flatnonzero(inner)
         first = x["first"][:-1] - np.arange(len(x["first"]) - 1)  # with no BEGIN
         c, context = count[x["uni"][at]], count[x["uni"][at - 1]]
-        l2, l1, l0 = lam[buckets(context)].T
+        l2, l1, l0 = lam[buckets(context)].T if n else np.array([0.0, 0.0, 1.0])
         p = l2 * count[x["bi"][at]] / np.maximum(context, 1) + l1 * c / max(n, 1) + l0 / (v + 1)
         base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
         add = lambda y: np.add.reduceat(y, first)
