@@ -2,7 +2,9 @@
 
 Every text is split at newlines; a line's key is the line stripped of ASCII whitespace and lower-cased in
 A-Z, hashed to 128 bits. Documents are counted per key, each task adding up its own documents first. Keys
-in at least ``min_docs`` documents lose all their lines; what stays is put together again by position.
+in at least ``min_docs`` documents lose all their lines; what stays is put together again by position. Documents meet
+their frequent keys in one join, in which the HOT most frequent keys are salted by document: no task gets all documents of a
+line that a third of them hold. Any other key has at most a part of 1 / HOT of all pairs of document and key.
 
 Defined cases: null and empty texts are one empty line and come back as they were; keys shorter than ``min_chars`` code points
 never count; a document that holds a line twice counts once; rows that share an id count as
@@ -19,6 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framelight.llm.common import settle, shuffle_partitions
+
+HOT = 1000  # keys that are salted; all that the driver gets
+
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
     """16 bytes, or None for a line too short to count. bytes.strip and bytes.lower are ASCII-only."""
@@ -35,7 +41,7 @@ def text_keys(text: str | None, min_chars: int) -> set[bytes]:
 
 
 def frequent_keys(df: DataFrame, min_docs: int, min_chars: int, text: str = "text") -> DataFrame:
-    """Keys (column ``key``) found in at least min_docs documents."""
+    """Keys (column ``key``) found in at least min_docs documents, and in how many (``docs``)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -44,7 +50,7 @@ def frequent_keys(df: DataFrame, min_docs: int, min_chars: int, text: str = "tex
                 seen.update(text_keys(x.as_py(), min_chars))
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["key", "docs"])
 
-    return df.select(text).mapInArrow(count, "key binary, docs long").groupBy("key").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select("key")
+    return df.select(text).mapInArrow(count, "key binary, docs long").groupBy("key").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs)
 
 
 def drop_frequent_lines(df: DataFrame, min_docs: int = 10, min_chars: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -52,19 +58,26 @@ def drop_frequent_lines(df: DataFrame, min_docs: int = 10, min_chars: int = 1, d
     rest = [c for c in df.columns if c.lower() not in ("n_lines", "n_dropped", text.lower())]
     rows = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"))
 
+    frequent = settle(frequent_keys(rows, min_docs, min_chars))
+    hot = frozenset(bytes(r["key"]) for r in frequent.orderBy(F.desc("docs"), "key").limit(HOT).collect())
+    salts = shuffle_partitions(df.sparkSession)
+
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, found = [], []
-            for i, x in enumerate(batch.column(1)):
+            at, found, salt = [], [], []
+            for i, (x, s) in enumerate(zip(batch.column(1), batch.column(2).to_pylist(), strict=True)):
                 new = text_keys(x.as_py(), min_chars)
-                ids += [i] * len(new)
+                at += [i] * len(new)
                 found += new
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(found, pa.binary())], ["id", "key"])
+                salt += [s if key in hot else 0 for key in new]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.binary()), pa.array(salt, pa.int32())], ["id", "key", "salt"])
 
     id_type = rows.schema["id"].dataType
-    pairs = rows.select("id", "text").mapInArrow(keys, T.StructType([T.StructField("id", id_type), T.StructField("key", T.BinaryType())]))
-    # the sides' order lets AQE split the partition of a line that a large part of all documents hold
-    lost = pairs.join(frequent_keys(rows, min_docs, min_chars), "key", "left_semi").groupBy(F.col("id").alias("lost_id")).agg(F.collect_set("key").alias("lost"))
+    salted = rows.select("id", "text", F.pmod(F.xxhash64(F.lit(8), "id", "text"), F.lit(salts)).cast("int").alias("salt"))
+    pairs = salted.mapInArrow(keys, T.StructType([T.StructField("id", id_type), T.StructField("key", T.BinaryType()), T.StructField("salt", T.IntegerType())]))
+    salty = F.broadcast(df.sparkSession.createDataFrame([(k,) for k in sorted(hot)], "key binary").withColumn("last", F.lit(salts - 1)))  # HOT rows at most
+    wanted = frequent.join(salty, "key", "left").select("key", F.explode(F.sequence(F.lit(0), F.coalesce("last", F.lit(0)))).alias("salt"))
+    lost = pairs.join(wanted, ["key", "salt"], "left_semi").groupBy(F.col("id").alias("lost_id")).agg(F.collect_set("key").alias("lost"))
     joined = rows.join(lost, F.col("id").eqNullSafe(F.col("lost_id")), "left").select("row", "text", "lost")
     schema = T.StructType([joined.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 

@@ -119,6 +119,17 @@ def test_line_dedup(docs, odd, empty):
     assert drop_frequent_lines(empty).collect() == []
 
 
+def test_line_dedup_salts_what_most_documents_hold(spark, monkeypatch):
+    """More frequent keys than are salted: both ways of the join, and null ids, give the same."""
+    import framelight.llm.line_dedup as module
+
+    monkeypatch.setattr(module, "HOT", 2)
+    rows = [(i if i % 9 else None, "\n".join(["Everywhere", f"of {i % 3}", f"own {i}", *(["twice"] if i < 2 else [])]), "s") for i in range(60)]
+    got = [(str(r.doc_id), r.n_lines, r.n_dropped, r.text) for r in drop_frequent_lines(spark.createDataFrame(rows, SCHEMA), 10).collect()]
+    lines = lambda t: [x for x in t.split("\n") if not x.startswith(("E", "of"))]
+    assert sorted(got) == sorted((str(i), t.count("\n") + 1, 2, "\n".join(lines(t))) for i, t, _ in rows)
+
+
 def test_fingerprints(docs, odd, empty):
     rows = sorted(corpus())
     got = {r.doc_id: r for r in edited_fingerprints(docs, range_bytes=4000).collect()}
