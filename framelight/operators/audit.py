@@ -182,3 +182,13 @@ def hierarchy(rows: DataFrame) -> DataFrame:
     """Products for each main category, subcategory and page."""
     named = lambda c, default: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(default)).alias(c)
     return rows.groupBy(named("main_category", "Uncategorized"), named("subcategory", "General"), named("page_label", "Page")).agg(F.count(F.lit(1)).alias("products"))
+
+
+def for_export(flagged_only: bool, status: Column, decision: Column) -> Column:
+    """Whether an item goes into a page's export: all, or those flagged or decided to be changed."""
+    return F.lit(not flagged_only) | (F.coalesce(status, F.lit("")) != "pass") | F.coalesce(decision, F.lit("")).isin("use_fixed", "complete_rework")
+
+
+def snapshot_summary(rows: DataFrame) -> DataFrame:
+    """One row for audit rows: how many, how many with a manual edit, how many decided by an operator."""
+    return rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("manual_edit_applied") == "Yes").alias("manual_edits"), F.count_if(F.trim(F.coalesce("operator_decision", F.lit(""))) != "").alias("manual_decisions"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from framelight.functions.fixed_values import ANCHOR_POLICY, CATEGORY_PROFILE, CATEGORY_STANDARDS, CATEGORY_TERMS, PROFILES
 from framelight.operators.gate import dedupe_candidates, gated
-from framelight.operators.audit import FIXES, OTHER_FIX, audit_rows, decide, export, hierarchy, issue_level, latest_decisions, suggested_fix, upsert
+from framelight.operators.audit import FIXES, OTHER_FIX, audit_rows, decide, export, hierarchy, issue_level, latest_decisions, snapshot_summary, suggested_fix, upsert
 from framelight.operators.review import calibration, edit_history, exception_suggestions, number_pages, unique_names
 from framelight.operators.scoring import page_summary, peer_baselines, score_items, score_single
 from framelight.functions.urls import canonical_http_url, canonical_listing_url, is_paginated, is_public_literal, page_number
@@ -245,6 +245,14 @@ def hierarchy_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy(_audit(spark, sf_dir))
 
 
+@query(f"""WITH {SCORED_SQL}, last AS (SELECT user_id % 3000 AS pos, arg_max({_EVENT}, event_id) AS d FROM events GROUP BY 1),
+shown AS (SELECT coalesce(d IN ('keep_original', 'use_fixed', 'complete_rework'), false) AS decided, len(issues) > 0 AS flagged FROM scored LEFT JOIN last USING (pos))
+SELECT count(*) AS rows, CAST(0 AS BIGINT) AS manual_edits, count(*) FILTER (decided) AS manual_decisions FROM shown WHERE decided OR flagged""")
+def audit_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, edits and decisions of the audit table."""
+    return snapshot_summary(_audit(spark, sf_dir))
+
+
 def _orders(spark: SparkSession, sf_dir: str, condition: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").filter(condition)
     return rows.select(F.col("o_orderpriority").alias("main_category"), F.col("o_orderstatus").alias("subcategory"), F.concat(F.lit("Page "), F.col("o_custkey") % 50).alias("page_label"), F.lit("").alias("page_url"), F.lit("x").alias("product_name"),

@@ -7,7 +7,7 @@ from framelight.functions.categories import category_scores, confidence, gate_mo
 from framelight.functions.geometry import anchor_mode, profile, standard, subtype
 from framelight.functions.text import catalog_text, clean_text, is_noise_name, natural_key, path_component, percent, python_fixed
 from framelight.functions.urls import candidate_key, canonical_http_url, is_public_literal, match_url, page_number
-from framelight.operators.audit import dedupe_rows, suggested_fix, upsert
+from framelight.operators.audit import dedupe_rows, for_export, snapshot_summary, suggested_fix, upsert
 from framelight.operators.gate import dedupe_candidates, gated
 from framelight.operators.review import TUNING, edit_history, exception_identity, exception_suggestions, merged_tuning, number_pages, should_normalize, tuning_error, unique_names
 from framelight.operators.scoring import summarise
@@ -95,6 +95,13 @@ def test_fixes(spark):
     assert one(spark, suggested_fix(F.array().cast("array<string>"))) == "No correction required."
 
 
+def test_export_and_snapshot(spark):
+    rows = spark.createDataFrame([("pass", None, "Yes"), ("pass", "use_fixed", "No"), ("pass", "keep_original", ""), ("review", " ", "Yes")], "status string, operator_decision string, manual_edit_applied string")
+    taken = lambda flagged_only: rows.filter(for_export(flagged_only, F.col("status"), F.col("operator_decision"))).count()
+    assert (taken(False), taken(True)) == (4, 2) and tuple(snapshot_summary(rows).first()) == (4, 2, 2)
+    assert tuple(snapshot_summary(rows.limit(0)).first()) == (0, 0, 0)
+
+
 MASTER = "main_category string, subcategory string, page_label string, page_url string, product_name string, product_url string, seq int"
 
 
