@@ -3,15 +3,16 @@
 The kernel of two words counts their common subsequences of four characters, each weighted by DECAY to the power
 of its span (at most SPAN characters), so gaps and inserted characters cost a little and hide nothing; it is divided by what words
 of those lengths have with themselves. The kernel of two sentences is the sum over their words. Landmarks are words of the
-labelled sentences; characters that are no letters are left out first, and a sentence's Nystroem features are its kernels with the landmarks times K**-1/2. Single
+labelled sentences, and stems of words: beginnings that come more than once in far more toxic than other documents, whatever endings follow, so that languages
+with few toxic documents and many inflected forms have their share. Characters that are no letters are left out first, and a sentence's Nystroem features are its kernels with the landmarks times K**-1/2. Single
 characters that follow each other (i d i o t) are taken as one word.
 
 A linear machine on these features is, multiplied out, one weight for each subsequence: scoring looks
 them up and never computes a kernel against a landmark. A word's value counts as far as it exceeds what one clean
 word in 10,000 (or 1,000, or 100, whichever suits the labels best) reaches, and a sentence's score is the sum of its words'. A document's score is a logistic function of its three highest
-sentence scores, fitted on the same labelled documents.
+sentence scores, of how many of its words exceed that value and of their share of all its words, fitted on the same labelled documents.
 
-Labels are of documents: a toxic document's positive sentences are those that hold a word far commoner in
+Labels are of documents: a toxic document's positive sentences are those that hold a word or stem far commoner in
 toxic documents, later those that the machine itself finds (two rounds). Learning takes at most ``max_toxic`` toxic and
 ``max_clean`` other documents, those of least hash; scoring reads every whole text.
 
@@ -33,6 +34,8 @@ from framelight.llm.words import Words, flat, scan, slices
 
 DECAY, SPAN = 0.85, 7
 FLOORS = 1e-4, 1e-3, 1e-2  # shares of clean words whose values may count
+STEMS = range(4, 13)  # lengths of stems, in bytes
+FEATURES = 5  # of a document: its highest sentence scores and its hits
 SYMBOL = np.zeros(256, np.int32)  # 32 symbols: letters without case, parts of other letters; 0 is no letter
 SYMBOL[97:123] = SYMBOL[65:91] = np.arange(1, 27)
 SYMBOL[128:] = 28 + np.arange(128) % 4
@@ -91,8 +94,9 @@ def word_values(text: pa.Array, weight: np.ndarray) -> Iterator[tuple[int, np.nd
 
 
 def sentence_scores(n: int, values: Iterable[tuple[int, np.ndarray, np.ndarray, np.ndarray]], floor: float) -> np.ndarray:
-    """A document's three highest sentence scores, 0 where there is no sentence: what its words' values exceed the floor by."""
-    out = np.zeros((n, 3))
+    """A document's three highest sentence scores, 0 where there is no sentence: what its words' values exceed the floor by;
+    and its hits, the words of a value above it: the logarithm of 1 + their number, and their number among a hundred words."""
+    out = np.zeros((n, FEATURES))
     for low, doc, value, ends in values:
         if not len(doc):
             continue
@@ -102,6 +106,9 @@ def sentence_scores(n: int, values: Iterable[tuple[int, np.ndarray, np.ndarray,
         place = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
         top = place < 3
         out[low + owner[order][top], place[top]] = sentence[order][top]
+        words, hits = np.bincount(doc), np.bincount(doc, value > floor)
+        out[low : low + len(words), 3] = np.log1p(hits)
+        out[low : low + len(words), 4] = 100 * hits / np.maximum(words, 1)
     return out
 
 
@@ -138,7 +145,7 @@ class Model:
         return self.final_score(sentence_scores(len(text), word_values(text, self.weight), self.floor))
 
     def final_score(self, top: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(top @ self.final[:3] + self.final[3], -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(top @ self.final[:FEATURES] + self.final[FEATURES], -30, 30)))
 
 
 def train(texts: pa.Array, toxic: np.ndarray, landmarks: int = 192, max_sentences: int = 12_000, seed: int = 5) -> Model:
@@ -146,7 +153,7 @@ def train(texts: pa.Array, toxic: np.ndarray, landmarks: int = 192, max_sentence
     if not toxic.any() or toxic.all():
         share = float(toxic.mean()) if len(toxic) else 0.0
         odds = np.log(max(share, 1e-9) / max(1 - share, 1e-9))
-        return Model(np.zeros(TABLE, np.float32), 0.0, np.array([0, 0, 0, odds]))
+        return Model(np.zeros(TABLE, np.float32), 0.0, np.array([*[0] * FEATURES, odds]))
     rng = np.random.default_rng(seed)
     # words by hash, and in how many documents of either kind they are
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
@@ -158,10 +165,12 @@ def train(texts: pa.Array, toxic: np.ndarray, landmarks: int = 192, max_sentence
     enough = enough[np.argsort(-odds[enough] * np.sqrt(n_bad[enough]), kind="stable")]
     usual = good[np.argsort(-n_good, kind="stable")[:4000]]
     usual = usual[rng.permutation(len(usual))[: landmarks // 3]]
-    told = bad[enough[: landmarks - len(usual)]]
+    stems = telling_stems(texts, toxic, landmarks // 3)
+    told = bad[enough[: landmarks - len(usual) - len(stems)]]
     spelled = spellings(texts, np.concatenate([told, usual, bad[enough[odds[enough] > 2.5]]]))
     signs = {spelled[h] for h in bad[enough[odds[enough] > 2.5]].tolist()}
-    chosen = list(dict.fromkeys(spelled[h] for h in [*told.tolist(), *usual.tolist()]))
+    chosen = list(dict.fromkeys([*stems, *(spelled[h] for h in [*told.tolist(), *usual.tolist()])]))
+    begins = tuple(stems)
     # landmarks' features, on the subsequences that any of them has
     marks = chosen
     joined = np.frombuffer(b" ".join(marks), np.uint8)
@@ -183,7 +192,7 @@ def train(texts: pa.Array, toxic: np.ndarray, landmarks: int = 192, max_sentence
         for sentence in _sentences(texts[int(i)].as_buffer().to_pybytes()):
             if not toxic[i]:
                 clean.append(sentence)
-            elif any(NO_LETTER.sub(b"", w.lower()) in signs for w in sentence.split()):
+            elif any(x in signs or x.startswith(begins) for x in (NO_LETTER.sub(b"", w.lower()) for w in sentence.split())):
                 marked.append(sentence)
             else:
                 other.append(sentence)
@@ -230,6 +239,48 @@ def document_words(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         yield from ((low + i, np.unique(h[at[i] : at[i + 1]])) for i in range(high - low))
 
 
+def beginnings(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, Words]:
+    """Of words of 4 to 24 letters all beginnings of a stem's length: hash, document (ascending), and place among the letters."""
+    _, _, words = hashed(texts)
+    got, whole = [], np.append(words.data, 0) & 0xC0 != 0x80  # no character is cut
+    for size in STEMS:
+        long = np.flatnonzero(words.end - words.start >= size)
+        long = long[whole[words.start[long] + size] | (words.end[long] - words.start[long] == size)]
+        got.append(Words(words.data, words.start[long], words.start[long] + size, long, words.doc[long]))
+    h, start, end, doc = (np.concatenate(x) for x in zip(*((w.hashes(fold=True), w.start, w.end, w.doc) for w in got), strict=True))
+    order = np.argsort(doc, kind="stable")
+    return h[order], doc[order], Words(words.data, start[order], end[order], start[order], doc[order])
+
+
+def telling_stems(texts: pa.Array, toxic: np.ndarray, most: int) -> list[bytes]:
+    """Stems that more than one word of a document begins with in far more toxic than other documents: of longer and shorter ones
+    the longest that nine tenths of the shorter one's toxic documents have."""
+    often = {True: [], False: []}
+    for low, high in slices(texts):
+        h, doc, _ = beginnings(texts.slice(low, high - low))
+        at = np.searchsorted(doc, np.arange(high - low + 1))
+        for i in range(high - low):
+            found, times = np.unique(h[at[i] : at[i + 1]], return_counts=True)
+            often[bool(toxic[low + i])].append(found[times > 1])
+    (bad, n_bad), (good, n_good) = (np.unique(np.concatenate(often[kind]), return_counts=True) for kind in (True, False))
+    at = np.minimum(np.searchsorted(good, bad), max(0, len(good) - 1))
+    elsewhere = np.where(good[at] == bad, n_good[at], 0) if len(good) else np.zeros(len(bad))
+    n1, n0 = int(toxic.sum()), int((~toxic).sum())
+    odds = np.log((n_bad + 0.1) / (n1 + 1)) - np.log((elsewhere + 0.1) / (n0 + 1))
+    chance = (n_bad + elsewhere) * n1 / (n1 + n0)  # toxic documents, if it told nothing
+    clear = (odds > 2) & (n_bad > chance + 4 * np.sqrt(chance + 1)) | (odds > 2.5) & (n_bad > 4) & (elsewhere == 0)
+    worth = dict(zip(bad[clear].tolist(), zip((odds * np.sqrt(n_bad))[clear].tolist(), n_bad[clear].tolist(), strict=True), strict=True))
+    spelled = {}
+    for low, high in slices(texts):
+        h, _, words = beginnings(texts.slice(low, high - low))
+        h, first = np.unique(h, return_index=True)
+        for i in np.flatnonzero(np.isin(h, bad[clear])).tolist():
+            spelled.setdefault(words.data[words.start[first[i]] : words.end[first[i]]].tobytes().lower(), worth[int(h[i])])
+    longest = [s for s, (_, n) in spelled.items() if not any(t != s and t.startswith(s) and m >= 0.9 * n for t, (_, m) in spelled.items())]
+    first = [s for s in longest if not any(t != s and s.startswith(t) for t in longest)]
+    return sorted(first, key=lambda s: (-spelled[s][0], s))[:most]
+
+
 def spellings(texts: pa.Array, wanted: np.ndarray) -> dict[int, bytes]:
     """The words of these hashes, lower case in A-Z."""
     out, wanted = {}, np.unique(wanted)

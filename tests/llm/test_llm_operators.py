@@ -7,6 +7,7 @@ from collections import Counter
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +21,7 @@ from framelight.llm.neighbours import nearest
 from framelight.llm.packing import pack, pack_group
 from framelight.llm.sharding import shuffle_into_shards
 from framelight.llm.substring_dedup import drop_repeated_windows
-from framelight.llm.toxicity import fit, score_toxicity
+from framelight.llm.toxicity import fit, score_toxicity, train
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -294,6 +295,30 @@ def test_toxicity(spark, odd, empty):
     assert all(r.score < 0.01 for r in score_toxicity(docs, none).collect()) and score_toxicity(empty, model).collect() == []
 
 
+def test_toxicity_of_inflected_stems():
+    """A small language whose insults are one stem with many endings, which clean documents now and then form by chance."""
+    rng = np.random.default_rng(8)
+    rows, labels = toxic_corpus(800)
+    texts, toxic, small = [t for _, t, _ in rows], [bool(y) for _, y in labels], [False] * len(rows)
+    parts = "ré eux tion ai ou elle que ch ê vi pa men an è on é le re tre aux en ç oi ti".split()
+    word = lambda: "".join(rng.choice(parts, rng.integers(2, 6)))
+    for i in range(240):
+        words = [word() for _ in range(rng.integers(60, 400))]
+        if i % 6 == 0:
+            for at in rng.integers(0, len(words), max(4, len(words) // 16)):
+                words[at] = "réeux" + word()
+        texts.append(". ".join(" ".join(words[j : j + 8]) for j in range(0, len(words), 8)))
+        toxic.append(i % 6 == 0)
+        small.append(True)
+    toxic, small, held = np.array(toxic), np.array(small), np.arange(len(texts)) % 4 == 1
+    held |= small & (np.arange(len(texts)) % 12 == 8)
+    told = np.flatnonzero(~held)
+    model = train(pa.array([texts[i] for i in told]), toxic[told])
+    got = model.score(pa.array(texts)) >= 0.5
+    assert (toxic & small & held).sum() >= 15 and got[toxic & small & held].mean() >= 0.8 and got[~toxic & small & held].mean() <= 0.05
+    assert (got == toxic)[held & ~small].mean() > 0.97
+
+
 def test_mixing(spark, odd, empty):
     rng = np.random.default_rng(4)
     rows = [(i, " ".join(["w"] * int(rng.integers(0, 20))), "big" if i < 300 else f"s{i % 4}") for i in range(400)]
