@@ -19,7 +19,8 @@ Candidates are verified by their exact weighted Jaccard similarity:
 Groups of comparisons are salted: a text that thousands are compared with is sent to as many tasks as they need.
 
 Defined cases: null is the empty text; texts without words are alike only if equal; equal texts are one node, so they share
-a class; a class's id is its least doc_id (null ids last); ids may repeat; an empty table gives no rows.
+a class; a class's id is its least doc_id (null ids last); ids may repeat and be null, so classes of different texts may have the same id
+and only their labels tell them apart; an empty table gives no rows.
 """
 
 from collections.abc import Iterator
@@ -255,7 +256,7 @@ def node_of(text: Column) -> Column:
 
 
 def near_classes(df: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, node (the text's), class_id, for each row."""
+    """doc_id, node (the text's), class_id, label (of the class, the least node), for each row."""
     rows = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).withColumn("node", node_of(F.col("text")))
     idf = idf_table(rows)
 
@@ -294,17 +295,17 @@ def near_classes(df: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc
             labels = merged(labels, found)
     nodes = first.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     class_ids = nodes.groupBy("label").agg(F.min("first_id").alias("class_id"))
-    nodes = nodes.join(class_ids, "label").select("node", "class_id")
-    return rows.select("id", "node").join(nodes, "node").select(F.col("id").alias(doc_id), "node", "class_id")
+    nodes = nodes.join(class_ids, "label").select("node", "class_id", "label")
+    return rows.select("id", "node").join(nodes, "node").select(F.col("id").alias(doc_id), "node", "class_id", "label")
 
 
 def keep_one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """df's rows without all but one row, of least doc_id, of each class."""
     classes = near_classes(df, doc_id=doc_id, text=text)
-    kept = settle(classes.filter(F.col(doc_id).eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("node").alias("kept_node"), F.count(F.lit(1)).alias("rows")))
+    kept = settle(classes.filter(F.col(doc_id).eqNullSafe(F.col("class_id"))).groupBy("label").agg(F.min("class_id").alias("class_id"), F.min("node").alias("kept_node"), F.count(F.lit(1)).alias("rows")))
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
     rows = df.select(row, F.col(doc_id).alias("id"), node_of(F.col(text)).alias("node"))
     out = rows.join(kept, F.col("id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("kept_node"))).select("row", "id", "node")
     if not kept.filter("rows > 1").isEmpty():  # ids that repeat
-        out = out.dropDuplicates(["id", "node"])
+        out = out.dropDuplicates(["node"])
     return out.select("row.*")

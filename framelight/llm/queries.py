@@ -55,7 +55,7 @@ def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
+    return near_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", F.hex("label").alias("class_label"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -208,6 +208,15 @@ def test_near_dedup_follows_chains_within_a_bucket(spark):
     assert got == brute_classes(rows)
 
 
+def test_near_dedup_of_null_and_repeated_ids(spark):
+    """Different texts stay apart whatever their ids; of copies without an id one row stays."""
+    texts = {c: " ".join(f"{c}{i}" for i in range(30)) for c in "abcdef"}
+    rows = [(None, texts["a"]), (None, texts["b"]), (None, texts["b"]), (5, texts["c"]), (5, texts["d"]), (5, texts["d"]), (6, texts["e"]), (None, texts["e"]), (None, texts["f"]), (5, texts["f"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.text for r in keep_one_of_each(df).collect()) == sorted(texts.values())
+    assert len({r.label for r in near_classes(df).collect()}) == len(texts)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
     x = (rng.normal(size=(40, 16))[rng.integers(0, 40, 3000)] * 3 + rng.normal(size=(3000, 16))).astype(np.float32)
