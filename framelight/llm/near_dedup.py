@@ -2,13 +2,13 @@
 
 Nodes are different texts. A text's shingles are its runs of five words (all its words, if it has fewer), weighted by
 TF-IDF: occurrences times idf, where idf runs from 0.1 to 1 and is below 1 only for shingles in more than a tenth of
-all documents, so boilerplate that many documents share links none, and the copies of a large group still
-count as alike. Document frequencies of all documents are summed in a table of CELLS hashed cells; a cell holds
+all documents. As the copies of a large group make their own shingles common, two texts are also alike if their similarity without
+idf is the threshold or more; so a text that holds common shingles has a second set of samples, drawn without idf. Document frequencies of all documents are summed in a table of CELLS hashed cells; a cell holds
 shingles_per_document / CELLS of all documents by chance at every corpus size, far below that tenth.
 
 SAMPLES samples of a text, in which two texts agree with the probability of their weighted Jaccard similarity, are cut into
 BANDS bands; texts that agree in a band are candidates (at similarity 0.8 all but 0.2 % are, at 0.9 all but one in a million).
-Candidates are verified by their exact weighted Jaccard similarity:
+Candidates are verified by their exact Jaccard similarity, the greater of those with and without idf:
 
 1. in each bucket (band and value) every text against the bucket's least one; the links' components are found;
 2. in buckets that still hold several components, up to TURNS times, the texts outside the largest against a few texts of
@@ -37,6 +37,7 @@ from framelight.llm.words import flat, mix, scan, slices, windows
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 4
 SAMPLES = BANDS * ROWS
+SETS = 2 * BANDS  # of samples with idf, and without
 CELLS = 1 << 18
 PARTS = 64  # of the table of document frequencies
 PRIOR = 1000  # documents without any shingle, so that a small corpus has no common ones
@@ -114,49 +115,62 @@ def idf_table(df: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def signatures(texts: pa.Array, idf: np.ndarray) -> np.ndarray:
-    """Band values, a row for each text (zeros for a text without words)."""
-    out = np.zeros((len(texts), BANDS), np.int64)
+    """Band values with and without idf, a row for each text (zeros for a text without words)."""
+    out = np.zeros((len(texts), SETS), np.int64)
     for low, n, doc, h, times in shingles(texts):
         if not len(h):
             continue
-        head = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-        has = doc[head]
-        log_weight = np.log(idf[cells(h)] * times).astype(np.float32)
-        sample = np.empty((len(head), SAMPLES), np.uint64)
-        for j in range(SAMPLES):
-            z = (h ^ SEEDS[j, 0]) * SEEDS[j, 1]
-            z ^= z >> np.uint64(29)
-            z *= np.uint64(0xBF58476D1CE4E5B9)
-            z ^= z >> np.uint64(32)
-            u = z.view(np.uint16).reshape(-1, 4)
-            r, beta = R[u[:, 0]], u[:, 1] * np.float32(1 / 65536)
-            t = np.floor(log_weight * BY_R[u[:, 0]] + beta)
-            a = (EXPONENTIAL[u[:, 2]] + EXPONENTIAL[u[:, 3]]) * np.exp(r * (beta - t - 1))
-            name = (h ^ (t.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B1))) & np.uint64(0xFFFFFFFF)
-            sample[:, j] = np.minimum.reduceat((a.view(np.uint32).astype(np.uint64) << np.uint64(32)) | name, head) & np.uint64(0xFFFFFFFF)
-        band = np.zeros((len(head), BANDS), np.uint64)
-        for j in range(ROWS):
-            band = mix(band * np.uint64(31) + sample[:, j::ROWS] + np.uint64(1 + j))
-        out[low + has] = mix(band + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+        weight = idf[cells(h)]
+        has, bands = band_values(doc, h, np.log(weight * times))
+        out[low + has] = np.hstack([bands, bands])
+        common = np.zeros(n, bool)
+        common[doc[weight < 1]] = True
+        rows = common[doc]
+        if rows.any():
+            has, bands = band_values(doc[rows], h[rows], np.log(times[rows]))
+            out[low + has, BANDS:] = bands
     return out
 
 
-def weighted(text: pa.Array, idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Of each text its shingles, sorted, and their weights."""
+def band_values(doc: np.ndarray, h: np.ndarray, log_weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts that have shingles, and their bands' values."""
+    head = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+    log_weight = log_weight.astype(np.float32)
+    sample = np.empty((len(head), SAMPLES), np.uint64)
+    for j in range(SAMPLES):
+        z = (h ^ SEEDS[j, 0]) * SEEDS[j, 1]
+        z ^= z >> np.uint64(29)
+        z *= np.uint64(0xBF58476D1CE4E5B9)
+        z ^= z >> np.uint64(32)
+        u = z.view(np.uint16).reshape(-1, 4)
+        r, beta = R[u[:, 0]], u[:, 1] * np.float32(1 / 65536)
+        t = np.floor(log_weight * BY_R[u[:, 0]] + beta)
+        a = (EXPONENTIAL[u[:, 2]] + EXPONENTIAL[u[:, 3]]) * np.exp(r * (beta - t - 1))
+        name = (h ^ (t.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B1))) & np.uint64(0xFFFFFFFF)
+        sample[:, j] = np.minimum.reduceat((a.view(np.uint32).astype(np.uint64) << np.uint64(32)) | name, head) & np.uint64(0xFFFFFFFF)
+    band = np.zeros((len(head), BANDS), np.uint64)
+    for j in range(ROWS):
+        band = mix(band * np.uint64(31) + sample[:, j::ROWS] + np.uint64(1 + j))
+    return doc[head], mix(band + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
+def weighted(text: pa.Array, idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each text its shingles, sorted, their weights and occurrences."""
     out = []
     for _, n, doc, h, times in shingles(text):
         at = np.searchsorted(doc, np.arange(n + 1))
         w = idf[cells(h)] * times
-        out += [(h[a:b], w[a:b]) for a, b in zip(at, at[1:], strict=False)]
+        out += [(h[a:b], w[a:b], times[a:b]) for a, b in zip(at, at[1:], strict=False)]
     return out
 
 
-def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+def jaccard(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> float:
+    """The greater of the similarities with and without idf."""
     both, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     if not len(both):
         return 0.0
-    least = np.minimum(a[1][i], b[1][j]).sum(dtype=float)
-    return least / (a[1].sum(dtype=float) + b[1].sum(dtype=float) - least)
+    least = [np.minimum(a[k][i], b[k][j]).sum(dtype=float) for k in (1, 2)]
+    return max(x / (a[k].sum(dtype=float) + b[k].sum(dtype=float) - x) for k, x in zip((1, 2), least, strict=True))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
@@ -235,7 +249,7 @@ def crossed(mixed: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: floa
         is_a = group["is_a"].to_numpy()
         left, right = group.filter(pa.array(is_a)), group.filter(pa.array(~is_a))
         band = group["band"][0].as_py()
-        bands = [np.array(side["bands"].to_pylist(), np.int64).reshape(-1, BANDS) for side in (left, right)]
+        bands = [np.array(side["bands"].to_pylist(), np.int64).reshape(-1, SETS) for side in (left, right)]
         sets = [weighted(flat(side["text"]), idf) for side in (left, right)]
         ends, nodes, labels, major = [], [side["node"].to_pylist() for side in (left, right)], [side["label"].to_pylist() for side in (left, right)], right["major"].to_pylist()
         for i in range(left.num_rows):
@@ -266,7 +280,7 @@ def near_classes(df: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(bands), pa.list_(pa.int64()))], ["node", "bands"])
 
     signed = settle(rows.select("node", "text").mapInArrow(sign, "node binary, bands array<long>").dropDuplicates(["node"]))
-    banded = signed.filter(F.col("bands")[0] != 0).select("node", F.explode("bands").alias("band"))
+    banded = signed.filter(F.col("bands")[0] != 0).select("node", F.explode(F.array_distinct("bands")).alias("band"))
     heads = banded.groupBy("band").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "a")
     shared = settle(banded.join(heads, "band"))
     # the texts of all nodes that are ever compared: of a node's rows those of the least id, of which any will do

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framelight.llm import near_dedup
 from framelight.llm.fingerprints import edited_fingerprints, hamming_links
 from framelight.llm.line_dedup import drop_frequent_lines
 from framelight.llm.lm_scoring import score_documents
@@ -217,6 +218,25 @@ def test_near_dedup_of_null_and_repeated_ids(spark):
     assert len({r.label for r in near_classes(df).collect()}) == len(texts)
 
 
+def test_near_dedup_of_a_third_of_all_rows():
+    """A text and its copies with two edited words each, alike by plain Jaccard only, as their shingles are common for being theirs: all are found and linked."""
+    rng = np.random.default_rng(6)
+    base = [f"b{i}" for i in range(104)]
+    rows = [" ".join(base)]
+    for i in range(1, 800):
+        words = list(base)
+        for at in rng.choice(np.arange(5, 95), 2, replace=False):
+            words[at] = f"e{i}x{at}"
+        rows.append(" ".join(words))
+    texts, held = pa.array(rows), np.zeros(near_dedup.CELLS)
+    for _, _, _, h, _ in near_dedup.shingles(texts):
+        held += np.bincount(near_dedup.cells(h), minlength=near_dedup.CELLS)
+    idf = np.clip(np.log10(2400 / np.maximum(held, 1)), 0.1, 1).astype(np.float32)  # of three times as many texts
+    bands, sets = near_dedup.signatures(texts, idf), near_dedup.weighted(texts, idf)
+    assert (bands[1:] == bands[0]).any(1).mean() > 0.99
+    assert all(near_dedup.jaccard(sets[0], x) >= 0.8 for x in sets[1:])
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
     x = (rng.normal(size=(40, 16))[rng.integers(0, 40, 3000)] * 3 + rng.normal(size=(3000, 16))).astype(np.float32)
