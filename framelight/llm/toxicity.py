@@ -14,11 +14,13 @@ sentence scores, of how many of its words exceed that value and of their share o
 
 Labels are of documents: a toxic document's positive sentences are those that hold a word or stem far commoner in
 toxic documents, later those that the machine itself finds (two rounds). Learning takes at most ``max_toxic`` toxic and
-``max_clean`` other documents, those of least hash; scoring reads every whole text.
+``max_clean`` other documents, those of least hash, and ``max_bytes`` of text in all, in one task; the driver gets the finished
+table of 4 MB. Scoring reads every whole text.
 
 Defined cases: null is the empty text and scores as a document without sentences; with no toxic or no clean
-labelled document every score is the toxic share (0 if there are no labels); null labels do not count; ids may repeat; an empty
-table gives no rows.
+labelled document every score is the toxic share (0 if there are no labels); null labels do not count; ids may repeat (of the rows
+that share a labelled id the one of least text is learned from, all are scored); a labelled text that does not fit in what is left of
+``max_bytes`` is not learned from; an empty table gives no rows.
 """
 
 import re
@@ -149,7 +151,7 @@ class Model:
 
 
 def train(texts: pa.Array, toxic: np.ndarray, landmarks: int = 192, max_sentences: int = 12_000, seed: int = 5) -> Model:
-    """texts: without nulls; toxic: booleans. All on the driver, over a bounded sample."""
+    """texts: without nulls; toxic: booleans. A bounded sample, all in one task."""
     if not toxic.any() or toxic.all():
         share = float(toxic.mean()) if len(toxic) else 0.0
         odds = np.log(max(share, 1e-9) / max(1 - share, 1e-9))
@@ -191,23 +193,26 @@ def train(texts: pa.Array, toxic: np.ndarray, landmarks: int = 192, max_sentence
     for i in rng.permutation(len(texts)):
         for sentence in _sentences(texts[int(i)].as_buffer().to_pybytes()):
             if not toxic[i]:
-                clean.append(sentence)
+                kind = clean
             elif any(x in signs or x.startswith(begins) for x in (NO_LETTER.sub(b"", w.lower()) for w in sentence.split())):
-                marked.append(sentence)
+                kind = marked
             else:
-                other.append(sentence)
-        if len(clean) >= max_sentences and len(marked) >= max_sentences:
+                kind = other
+            if len(kind) < max_sentences:  # of documents in random order
+                kind.append(sentence)
+        if all(len(kind) >= max_sentences for kind in (clean, marked, other)):
             break
-    spare = [other[i] for i in rng.permutation(len(other))[:max_sentences]]
-    x0, x1, x2 = (_features(s[:max_sentences], active, f, project) for s in (clean, marked or other, spare))
+    x0, x1 = (_features(s, active, f, project) for s in (clean, marked or other))
     u, bias = squared_hinge(np.vstack([x0, x1]), np.repeat([-1.0, 1.0], [len(x0), len(x1)]))
-    if len(x2) and len(marked):  # sentences without a sign that the machine finds
-        more = x2[x2 @ u + bias > 0.5]
+    if other and marked:  # sentences without a sign that the machine finds
+        more = _features(other, active, f, project)
+        more = more[more @ u + bias > 0.5]
         u, bias = squared_hinge(np.vstack([x0, x1, more]), np.repeat([-1.0, 1.0], [len(x0), len(x1) + len(more)]))
     weight = np.zeros(TABLE, np.float32)
     weight[active] = project @ u
+    del clean, marked, other, rows, project, x0, x1
     # a clean word's value is noise up to what few of them exceed: how few, the labels tell
-    values = list(word_values(texts, weight))
+    values = [(low, doc, value.astype(np.float32), ends) for low, doc, value, ends in word_values(texts, weight)]
     harmless = np.concatenate([value[~toxic[low + doc]] for low, doc, value, _ in values])
     best = None
     for share in FLOORS:
@@ -319,14 +324,36 @@ def _features(sentences: list[bytes], active: np.ndarray, f: int, project: np.nd
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_toxic: int = 2000, max_clean: int = 3000) -> Model:
-    """learn: a condition on labels' rows. At most max_toxic + max_clean documents come to the driver."""
+def fit(
+    docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
+    max_toxic: int = 2000, max_clean: int = 3000, max_bytes: int = 32 << 20,
+) -> Model:
+    """learn: a condition on labels' rows. At most max_toxic + max_clean documents and max_bytes of text meet in one task,
+    which sends the model to the driver."""
     told = labels.filter(learn & F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).alias("y"))
     told = told.withColumn("h", F.xxhash64(F.lit(4), "id"))
-    taken = told.filter("y = 1").orderBy("h", "id").limit(max_toxic).unionByName(told.filter("y = 0").orderBy("h", "id").limit(max_clean)).select("id", "y")
+    taken = told.filter("y = 1").orderBy("h", "id").limit(max_toxic).unionByName(told.filter("y = 0").orderBy("h", "id").limit(max_clean))
     rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(taken), "id")  # max_toxic + max_clean ids
-    got = rows.select("id", "text", "y").toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
-    return train(flat(got["text"]), got["y"].to_numpy() == 1)
+    sample = rows.groupBy("id", "y", "h").agg(F.min("text").alias("text")).repartition(1).sortWithinPartitions("h", "id")
+
+    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, room = [], max_bytes
+        for b in batches:
+            for i, y, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3), strict=True):
+                size = len(x.as_buffer())
+                if size <= room:
+                    got.append((i, y == 1, x.as_py()))
+                    room -= size
+        got.sort(key=lambda x: x[0])
+        toxic, texts = np.array([y for _, y, _ in got], bool), pa.array([x for _, _, x in got], pa.string())
+        del got
+        model = train(texts, toxic)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weight.tobytes()], pa.binary()), pa.array([model.floor]), pa.array([model.final.tolist()])], ["weight", "floor", "final"])
+
+    row = sample.select("id", "y", "h", "text").mapInArrow(learned, "weight binary, floor double, final array<double>").collect()
+    if not row:  # no labelled text at all
+        return train(pa.array([], pa.string()), np.zeros(0, bool))
+    return Model(np.frombuffer(bytes(row[0]["weight"]), np.float32), row[0]["floor"], np.array(row[0]["final"]))
 
 
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
