@@ -1,12 +1,13 @@
 """Near-duplicate classes by improved consistent weighted sampling (ICWS).
 
 Nodes are different texts. A text's shingles are its runs of five words (all its words, if it has fewer), weighted by
-TF-IDF: occurrences times idf, where idf runs from 0.1 to 1 and is below 1 only for shingles in more than a tenth of
-all documents. As the copies of a large group make their own shingles common, two texts are also alike if their similarity without
-idf is the threshold or more; so a text that holds common shingles has a second set of samples, drawn without idf. Document frequencies of all documents are summed in a table of CELLS hashed cells; a cell holds
-shingles_per_document / CELLS of all documents by chance at every corpus size, far below that tenth.
+TF-IDF: occurrences times idf = 1 + ln((documents + 1) / (documents that hold it + 1)). As the copies of a large group make
+their own shingles common, so that the few that an edit brings weigh most, two texts are also alike if their similarity without
+idf is the threshold or more; each text therefore has a second set of samples, drawn without idf. Document frequencies of all
+documents are summed in a table of CELLS hashed cells; a cell holds shingles_per_document / CELLS of all documents by chance, at every
+corpus size, so that the rarest shingles weigh about eight times as much as those of all documents.
 
-SAMPLES samples of a text, in which two texts agree with the probability of their weighted Jaccard similarity, are cut into
+SAMPLES samples of a set, in which two texts agree with the probability of their weighted Jaccard similarity, are cut into
 BANDS bands; texts that agree in a band are candidates (at similarity 0.8 all but 0.2 % are, at 0.9 all but one in a million).
 Candidates are verified by their exact Jaccard similarity, the greater of those with and without idf:
 
@@ -40,7 +41,6 @@ SAMPLES = BANDS * ROWS
 SETS = 2 * BANDS  # of samples with idf, and without
 CELLS = 1 << 18
 PARTS = 64  # of the table of document frequencies
-PRIOR = 1000  # documents without any shingle, so that a small corpus has no common ones
 LOW = np.uint64((1 << 52) - 1)
 TURNS, PIVOTS = 6, 4
 WORTH = 0.05  # links for each comparison, below which no further turn is made
@@ -91,7 +91,7 @@ def cells(h: np.ndarray) -> np.ndarray:
 
 
 def idf_table(df: DataFrame, text: str = "text") -> np.ndarray:
-    """idf of each cell, 0.1 to 1."""
+    """idf of each cell, 1 or more."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, docs = np.zeros(CELLS, np.int64), 0
@@ -111,47 +111,46 @@ def idf_table(df: DataFrame, text: str = "text") -> np.ndarray:
     rows = sorted(rows, key=lambda r: r["part"])
     docs = sum(r["docs"] for r in rows)
     total = np.concatenate([unpack(bytes(r["counts"]), CELLS // PARTS, np.int64) for r in rows]) if rows else np.zeros(CELLS, np.int64)
-    return np.clip(np.log((docs + PRIOR) / np.maximum(total, 1)) / np.log(10), 0.1, 1).astype(np.float32)
+    return (1 + np.log((docs + 1) / (np.minimum(total, docs) + 1))).astype(np.float32)
 
 
 def signatures(texts: pa.Array, idf: np.ndarray) -> np.ndarray:
     """Band values with and without idf, a row for each text (zeros for a text without words)."""
     out = np.zeros((len(texts), SETS), np.int64)
     for low, n, doc, h, times in shingles(texts):
-        if not len(h):
-            continue
-        weight = idf[cells(h)]
-        has, bands = band_values(doc, h, np.log(weight * times))
-        out[low + has] = np.hstack([bands, bands])
-        common = np.zeros(n, bool)
-        common[doc[weight < 1]] = True
-        rows = common[doc]
-        if rows.any():
-            has, bands = band_values(doc[rows], h[rows], np.log(times[rows]))
-            out[low + has, BANDS:] = bands
+        if len(h):
+            has, with_idf, without = band_values(doc, h, np.log(idf[cells(h)] * times), np.log(times))
+            out[low + has] = np.hstack([with_idf, without])
     return out
 
 
-def band_values(doc: np.ndarray, h: np.ndarray, log_weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The texts that have shingles, and their bands' values."""
+def band_values(doc: np.ndarray, h: np.ndarray, *log_weights: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The texts that have shingles, and for each of the weightings their bands' values. Weightings share their random numbers, so
+    that texts of equal weights have equal samples."""
     head = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-    log_weight = log_weight.astype(np.float32)
-    sample = np.empty((len(head), SAMPLES), np.uint64)
+    log_weights = [w.astype(np.float32) for w in log_weights]
+    samples = [np.empty((len(head), SAMPLES), np.uint64) for _ in log_weights]
     for j in range(SAMPLES):
         z = (h ^ SEEDS[j, 0]) * SEEDS[j, 1]
         z ^= z >> np.uint64(29)
         z *= np.uint64(0xBF58476D1CE4E5B9)
         z ^= z >> np.uint64(32)
         u = z.view(np.uint16).reshape(-1, 4)
-        r, beta = R[u[:, 0]], u[:, 1] * np.float32(1 / 65536)
-        t = np.floor(log_weight * BY_R[u[:, 0]] + beta)
-        a = (EXPONENTIAL[u[:, 2]] + EXPONENTIAL[u[:, 3]]) * np.exp(r * (beta - t - 1))
-        name = (h ^ (t.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B1))) & np.uint64(0xFFFFFFFF)
-        sample[:, j] = np.minimum.reduceat((a.view(np.uint32).astype(np.uint64) << np.uint64(32)) | name, head) & np.uint64(0xFFFFFFFF)
-    band = np.zeros((len(head), BANDS), np.uint64)
+        r, by_r, beta = R[u[:, 0]], BY_R[u[:, 0]], u[:, 1] * np.float32(1 / 65536)
+        wait = EXPONENTIAL[u[:, 2]] + EXPONENTIAL[u[:, 3]]
+        for log_weight, sample in zip(log_weights, samples, strict=True):
+            t = np.floor(log_weight * by_r + beta)
+            a = wait * np.exp(r * (beta - t - 1))
+            name = (h ^ (t.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B1))) & np.uint64(0xFFFFFFFF)
+            sample[:, j] = np.minimum.reduceat((a.view(np.uint32).astype(np.uint64) << np.uint64(32)) | name, head) & np.uint64(0xFFFFFFFF)
+    return doc[head], *map(banded, samples, range(len(samples)))
+
+
+def banded(sample: np.ndarray, weighting: int) -> np.ndarray:
+    band = np.full((len(sample), BANDS), weighting, np.uint64)
     for j in range(ROWS):
         band = mix(band * np.uint64(31) + sample[:, j::ROWS] + np.uint64(1 + j))
-    return doc[head], mix(band + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+    return mix(band + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
 def weighted(text: pa.Array, idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -221,7 +220,8 @@ def mixed_buckets(banded: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows (band, node, label, top, n, n_minor) of the buckets that hold several components: top is the largest one's label."""
     placed = banded.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     parts = placed.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
-    largest = parts.groupBy("band").agg(F.max(F.struct("n", "label")).alias("best"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    largest = parts.groupBy("band").agg(F.max(F.struct("n", "label")).alias("best"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"))
+    largest = settle(largest.filter("parts > 1"))  # a table of its own, so that Spark can split a band's rows in the join
     return placed.join(largest.select("band", F.col("best.label").alias("top"), "n", (F.col("n") - F.col("best.n")).alias("n_minor")), "band")
 
 
@@ -285,8 +285,10 @@ def near_classes(df: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc
     shared = settle(banded.join(heads, "band"))
     # the texts of all nodes that are ever compared: of a node's rows those of the least id, of which any will do
     first = settle(rows.groupBy("node").agg(F.min("id").alias("first_id")))
-    wanted = shared.select("node").distinct().join(first, "node").join(signed, "node")
-    texts = settle(rows.join(wanted, "node").filter(F.col("id").eqNullSafe(F.col("first_id"))).select("node", "text", "bands").dropDuplicates(["node"]))
+    # the join is by node and id, so that a text's copies are spread
+    wanted = settle(shared.select("node").distinct().join(first, "node").join(signed, "node"))
+    texts = rows.join(wanted.withColumnRenamed("node", "of"), (F.col("node") == F.col("of")) & F.col("id").eqNullSafe(F.col("first_id"))).select("node", "text", "bands")
+    texts = settle(settle(texts).dropDuplicates(["node"]))  # ids that repeat
     pairs = settle(shared.filter("node <> a").select("a", F.col("node").alias("b")).distinct())
     banded = shared.select("band", "node")
     links = settle(verified(pairs, texts.select("node", "text"), idf, threshold))
@@ -309,7 +311,7 @@ def near_classes(df: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc
             labels = merged(labels, found)
     nodes = first.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     class_ids = nodes.groupBy("label").agg(F.min("first_id").alias("class_id"))
-    nodes = nodes.join(class_ids, "label").select("node", "class_id", "label")
+    nodes = settle(nodes.join(class_ids, "label").select("node", "class_id", "label"))
     return rows.select("id", "node").join(nodes, "node").select(F.col("id").alias(doc_id), "node", "class_id", "label")
 
 

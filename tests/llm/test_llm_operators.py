@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framelight.llm import near_dedup
+from framelight.llm import near_dedup, neighbours
 from framelight.llm.fingerprints import edited_fingerprints, hamming_links
 from framelight.llm.line_dedup import drop_frequent_lines
 from framelight.llm.lm_scoring import score_documents
@@ -170,7 +170,7 @@ def brute_classes(rows, threshold=0.8):
         w = WORD.findall(t or "")
         bags[i] = Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
     held = Counter(g for b in bags.values() for g in b)
-    weigh = {i: {g: c * min(1, max(0.1, math.log((len(rows) + 1000) / held[g]) / math.log(10))) for g, c in b.items()} for i, b in bags.items()}
+    weigh = {i: {g: c * (1 + math.log((len(rows) + 1) / (held[g] + 1))) for g, c in b.items()} for i, b in bags.items()}
     label = {i: i for i in bags}
 
     def root(i):
@@ -182,9 +182,12 @@ def brute_classes(rows, threshold=0.8):
     ids = sorted(bags)
     for x, a in enumerate(ids):
         for b in ids[:x]:
-            least = sum(min(w, weigh[b].get(g, 0)) for g, w in weigh[a].items())
-            most = sum(weigh[a].values()) + sum(weigh[b].values()) - least
-            if text[a] == text[b] or most and least / most >= threshold:
+            like = 0.0
+            for bag in (weigh, bags):
+                least = sum(min(w, bag[b].get(g, 0)) for g, w in bag[a].items())
+                most = sum(bag[a].values()) + sum(bag[b].values()) - least
+                like = max(like, least / most if most else 0)
+            if text[a] == text[b] or like >= threshold:
                 p, q = root(a), root(b)
                 label[max(p, q)] = min(p, q)
     return {i: root(i) for i in ids}
@@ -231,7 +234,7 @@ def test_near_dedup_of_a_third_of_all_rows():
     texts, held = pa.array(rows), np.zeros(near_dedup.CELLS)
     for _, _, _, h, _ in near_dedup.shingles(texts):
         held += np.bincount(near_dedup.cells(h), minlength=near_dedup.CELLS)
-    idf = np.clip(np.log10(2400 / np.maximum(held, 1)), 0.1, 1).astype(np.float32)  # of three times as many texts
+    idf = (1 + np.log(2401 / (np.minimum(held, 2400) + 1))).astype(np.float32)  # of three times as many texts
     bands, sets = near_dedup.signatures(texts, idf), near_dedup.weighted(texts, idf)
     assert (bands[1:] == bands[0]).any(1).mean() > 0.99
     assert all(near_dedup.jaccard(sets[0], x) >= 0.8 for x in sets[1:])
@@ -244,7 +247,7 @@ def test_neighbours(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     rows += [(3000, None), (3001, [0.0] * 16), (3002, [float("nan")] + [1.0] * 15), (3003, [None] + [1.0] * 15), (3004, [1.0] * 3), (3100, [float("inf")] * 16)]
     df = spark.createDataFrame(rows, T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType()))]))
-    got = nearest(df, F.col("id") % 100 == 0, 10, sample_rows=1000, part_rows=100, block_rows=128).collect()
+    got = nearest(df, F.col("id") % 100 == 0, 10, sample_rows=1000, block_rows=128).collect()
     hits = 0
     for q in range(0, 3000, 100):
         d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1))
@@ -254,11 +257,27 @@ def test_neighbours(spark):
         assert [(m[2], m[1]) for m in mine] == sorted((m[2], m[1]) for m in mine)
         hits += len({m[1] for m in mine} & set(order))
     assert hits >= 0.9 * 300 and {r.query_id for r in got} == set(range(0, 3000, 100))
+    twice = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [5.0, 5.0])]
+    got = nearest(spark.createDataFrame(twice, "vec_id long, embedding array<double>"), F.col("id") == 0, 2).collect()
+    assert sorted((r.rank, r.vec_id, round(r.score, 3)) for r in got) == sorted([(1, 0, 0.0), (1, 0, 0.0), (2, 0, 1.414), (2, 0, 1.414), (1, 0, 1.414), (2, 0, 1.414)]), "only a query's own row is left out"
     few = nearest(df.filter("vec_id < 4 OR vec_id >= 3000"), F.col("id") % 2 == 0, 10).collect()
     assert Counter(r.query_id for r in few) == {0: 3, 2: 3}
     assert nearest(df.limit(0), F.col("id") % 2 == 0).collect() == []
 
 
+@pytest.mark.parametrize(("n", "sample"), [(500, 8192), (4000, 400)])
+def test_neighbours_are_routed_at_every_size(spark, n, sample):
+    """Networks choose some of many leaves, also where they are fitted on a tenth of the rows; most neighbours are found."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(20, 12))[rng.integers(0, 20, n)] * 4 + rng.normal(size=(n, 12))
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.array(x.tolist(), pa.list_(pa.float64()))}))
+    leaves, probes = neighbours.fit(df.select(F.col("embedding").alias("v")), n, 10, sample, 0.95)
+    assert leaves.top is not None and leaves.n >= 16 and probes < leaves.n
+    got = {(r.query_id, r.vec_id) for r in nearest(df, F.col("id") % 50 == 0, 10, sample_rows=sample).collect()}
+    want = {(q, int(i)) for q in range(0, n, 50) for i in np.argsort(((x - x[q]) ** 2).sum(1))[1:11]}
+    assert len(got & want) >= 0.9 * len(want)
+
+
 def test_language_model(docs, odd, empty):
     rows = corpus()
     inside = lambda i: zlib.crc32(str(i).encode()) % 5 != 1
