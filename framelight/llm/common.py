@@ -1,7 +1,6 @@
 """What several operators share: tables, settled intermediate results, doc_id ranges."""
 
 import math
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,11 +12,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where spark.checkpoint.dir is unset (tests)."""
+    """The cluster's shared folder, which spark.checkpoint.dir must name: a folder of the driver's own is not seen by executors."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='framelight-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
     return at.rstrip("/")
 
 
@@ -43,20 +41,24 @@ def exchange_bytes(total: int, low: int = 8 << 20, high: int = 128 << 20) -> int
     return int(min(high, max(low, math.sqrt(6400.0 * total))))
 
 
-def range_index(df: DataFrame, key: str, n: int) -> Column:
-    """Column: which of about n equally filled ranges of an integer key a row falls into (null: 0).
+def ranges(df: DataFrame, key: str, n: int, text: str = "text", unit: int = 4096) -> tuple[Column, int]:
+    """Column: which of about n ranges of an integer key a row falls into (null: 0), and how many ranges there are.
 
-    Boundaries are approximate quantiles in two levels, so that a lookup costs about 2*sqrt(n)."""
+    Ranges hold about as many bytes of text each: for the boundaries a key counts once for each ``unit`` bytes. Only keys are
+    moved, and the driver gets the boundaries, 8 bytes for each range. In the plan they are one constant, cut in two
+    levels, so that a row's lookup takes about 2*sqrt(n) comparisons."""
+    none = F.lit(0), 1
     if n <= 1:
-        return F.lit(0)
-    cuts = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 10 * n).alias("q")).first()["q"]
-    cuts = sorted(set(cuts or []))
+        return none
+    times = F.floor(F.coalesce(F.octet_length(text), F.lit(0)) / unit).cast("int")
+    keys = df.select(F.col(key).cast("long").alias("key"), F.explode(F.sequence(F.lit(0), times))).filter("key IS NOT NULL").select("key")
+    parts = keys.repartitionByRange(n, "key").select(F.spark_partition_id().alias("part"), "key").groupBy("part").agg(F.min("key").alias("key"))
+    cuts = sorted({r["key"] for r in parts.collect()})[1:]
     if not cuts:
-        return F.lit(0)
+        return none
     wide = max(1, math.isqrt(len(cuts)))
-    groups = [cuts[i : i + wide] for i in range(0, len(cuts), wide)]
-    value = F.col(key)
-    group = F.size(F.filter(F.array(*[F.lit(g[0]).cast("long") for g in groups]), lambda c: c <= value))
-    rest = F.array(*[F.array(*[F.lit(c).cast("long") for c in g]) for g in groups])
-    inner = F.size(F.filter(F.try_element_at(rest, group), lambda c: c <= value))
-    return F.when(value.isNull() | (group == 0), F.lit(0)).otherwise((group - 1) * wide + inner).cast("int")
+    constant = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+    upto = lambda values: F.size(F.filter(values, lambda c: c <= F.col(key)))
+    group = upto(constant(cuts[::wide]))
+    inner = upto(F.slice(constant(cuts), F.greatest((group - 1) * wide, F.lit(0)) + 1, F.lit(wide)))
+    return F.when(F.col(key).isNull() | (group == 0), F.lit(0)).otherwise((group - 1) * wide + inner).cast("int"), len(cuts) + 1

@@ -16,7 +16,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelight.llm.common import range_index, shuffle_partitions, total_bytes
+from framelight.llm.common import exchange_bytes, ranges, shuffle_partitions, total_bytes
 
 TABLE = 1 << 14
 HASHES = 2  # of 64 bits
@@ -70,13 +70,14 @@ def likeness(a: str, b: str) -> Column:
     return F.lit(1.0) - off.cast("double") / F.lit(64.0 * HASHES)
 
 
-def edited_fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", range_bytes: int = 4 << 20) -> DataFrame:
+def edited_fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", range_bytes: int | None = None) -> DataFrame:
     """Fingerprints of each text, of the text with its last half replaced by the next document's start,
     and their likenesses. Texts move once: ranges of ids meet whole, each with its successor's first row as a guest."""
     rows = df.select(F.col(doc_id).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
     weights = term_weights(rows)
-    n = max(math.ceil(total_bytes(rows) / range_bytes), 2 * shuffle_partitions(df.sparkSession))
-    rows = rows.withColumn("range", range_index(rows, "id", n)).withColumn("guest", F.lit(0))
+    total = total_bytes(rows)
+    n = max(math.ceil(total / (range_bytes or exchange_bytes(total, low=4 << 20))), 2 * shuffle_partitions(df.sparkSession))
+    rows = rows.withColumn("range", ranges(rows, "id", n)[0]).withColumn("guest", F.lit(0))
     heads = rows.groupBy("range").agg(F.min("id").alias("head"), F.count(F.when(F.col("id").isNull(), 1)).alias("nulls"))
     heads = heads.withColumn("head", F.when(F.col("nulls") == 0, F.col("head")))
     order = Window.orderBy("range")  # a row for each range

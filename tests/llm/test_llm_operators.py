@@ -102,6 +102,41 @@ def test_substring_dedup(docs, odd, empty):
     assert drop_repeated_windows(empty).collect() == []
 
 
+def brute_factors(rows, k):
+    """A greedy parse with plain Python: of each document the factors' start and length, against the first document and place of each window."""
+    words = {i: WORD.findall(t or "") for i, t, *_ in rows}
+    first = {}
+    for i in sorted(words):
+        for j in range(len(words[i]) - k + 1):
+            first.setdefault(tuple(words[i][j : j + k]), (i, j))
+    out = {}
+    for i, w in words.items():
+        ref = [first[tuple(w[j : j + k])] for j in range(len(w) - k + 1)]
+        out[i], j = [], 0
+        while j < len(ref):
+            if ref[j][0] >= i:
+                j += 1
+                continue
+            start, (doc, at) = j, ref[j]
+            while j + 1 < len(ref) and ref[j + 1] == (doc, at + j + 1 - start):
+                j += 1
+            assert words[doc][at : at + j - start + k] == w[start : j + k], "a factor stands in its reference"
+            out[i].append((start, j - start + k))
+            j += 1
+    return out
+
+
+@pytest.mark.parametrize("block_bytes", [None, 3000])
+def test_substring_parse(docs, block_bytes):
+    """Factors are those of a plain greedy parse, whether the corpus is one block or many."""
+    rows, k = corpus(), 5
+    got = {r.doc_id: r for r in drop_repeated_windows(docs, k, block_bytes=block_bytes).collect()}
+    want = brute_factors(rows, k)
+    assert {i: [(f.start, f.words) for f in r.factors] for i, r in got.items()} == want and sum(map(len, want.values())) > 20
+    assert {i: (r.n_words, r.n_removed, r.kept_text) for i, r in got.items()} == brute_windows(rows, k)
+    assert (len({f.block for r in got.values() for f in r.factors}) > 3) == (block_bytes is not None)
+
+
 def brute_lines(rows, least):
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(LOWER)
     held = Counter(k for _, t, *_ in rows for k in {key(x) for x in (t or "").split("\n")} if k)
