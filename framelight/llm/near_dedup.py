@@ -175,9 +175,10 @@ def jaccard(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> float:
 def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
     """Of pairs (a, b), no two alike, those of similarity threshold or more. texts: node, text."""
     size = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("salts"))
-    salt = F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")
     wide = size.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("node"), F.lit(True).alias("is_a"))
-    needed = pairs.join(size, "a").select("a", salt.alias("salt"), F.col("b").alias("node"), F.lit(False).alias("is_a")).unionByName(wide)
+    many = settle(size.filter("salts > 1"))  # a table of its own, so that Spark can split the join
+    salt = F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int")
+    needed = pairs.join(many, "a", "left").select("a", salt.alias("salt"), F.col("b").alias("node"), F.lit(False).alias("is_a")).unionByName(wide)
 
     def compare(group: pa.Table) -> pa.Table:
         is_a = group["is_a"].to_numpy()
