@@ -63,6 +63,20 @@ def temperature(sources: DataFrame, budget: int | None, entropy: float, max_epoc
     return high, round(measure([high])[0][2] * total[0])
 
 
+def in_order(blocks: DataFrame) -> DataFrame:
+    """blocks with ``before``: the tokens of those before it in the order of rank, of its source and epoch. Prefix sums in two levels,
+    so that no task orders more than about root(n) of a source's n blocks."""
+    bin_of = F.floor((F.col("rank") / F.lit(2.0**64) + 0.5) * F.ceil(F.sqrt("n_blocks")))
+    blocks = blocks.withColumn("bin", bin_of)
+    bins = blocks.groupBy("of", "epoch", "bin").agg(F.sum("block_tokens").alias("bin_tokens"))
+    earlier = Window.partitionBy("of", "epoch").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.select(F.col("of").alias("bin_source"), "epoch", "bin", F.coalesce(F.sum("bin_tokens").over(earlier), F.lit(0)).alias("bin_before"))
+    inner = Window.partitionBy("of", "epoch", "bin").orderBy("rank", "block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("inside", F.coalesce(F.sum("block_tokens").over(inner), F.lit(0)))
+    joined = blocks.join(bins, ["epoch", "bin"]).filter(F.col("of").eqNullSafe(F.col("bin_source")))
+    return joined.withColumn("before", F.col("bin_before") + F.col("inside"))
+
+
 def mix_sources(df: DataFrame, budget: int | None = None, entropy: float = 0.97, max_epochs: float = 4.0, seed: int = 0, block_tokens: int = 1 << 20, source: str = "source", text: str = "text") -> DataFrame:
     """df's rows as the mixture takes them (some more than once, some not), with weight double, n_tokens long,
     epoch int (from 0) and place long (tokens of the source's run before the row, over all epochs). budget: by default the
@@ -81,12 +95,13 @@ def mix_sources(df: DataFrame, budget: int | None = None, entropy: float = 0.97,
     ).withColumn("goal", F.round(F.col("weight") * budget).cast("long")).withColumn("n_blocks", F.greatest(F.ceil(F.col("source_tokens") / block_tokens).cast("long"), F.lit(1)))
     # a block's tokens, then each epoch's order of blocks: a row for each block and epoch
     dealt = rows.join(plan, F.col("source").eqNullSafe(F.col("of"))).withColumn("block", F.pmod("key", F.col("n_blocks")))
-    blocks = dealt.groupBy("of", "block").agg(F.sum("tokens").alias("block_tokens"), F.first("goal").alias("goal"), F.first("source_tokens").alias("source_tokens"))
+    blocks = dealt.groupBy("of", "block").agg(F.sum("tokens").alias("block_tokens"), F.first("goal").alias("goal"), F.first("source_tokens").alias("source_tokens"), F.first("n_blocks").alias("n_blocks"))
     epochs = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("goal") / F.greatest("source_tokens", F.lit(1))).cast("long"), F.lit(1)) - 1)).alias("epoch")
-    blocks = blocks.select("of", "block", "block_tokens", "goal", "source_tokens", epochs)
-    order = Window.partitionBy("of", "epoch").orderBy(F.xxhash64(F.lit(seed + 1), "block", "epoch"), "block").rowsBetween(Window.unboundedPreceding, -1)
-    begins = F.coalesce(F.sum("block_tokens").over(order), F.lit(0)) + F.col("epoch") * F.col("source_tokens")
-    blocks = blocks.select("of", "block", "epoch", "goal", begins.alias("begins")).filter("begins <= goal").groupBy("of", "block", "goal").agg(F.collect_list(F.struct("epoch", "begins")).alias("runs"))
+    blocks = blocks.select("of", "block", "block_tokens", "goal", "source_tokens", "n_blocks", epochs)
+    blocks = in_order(blocks.withColumn("rank", F.xxhash64(F.lit(seed + 1), "block", "epoch")))
+    begins = F.col("before") + F.col("epoch") * F.col("source_tokens")
+    blocks = blocks.select("of", "block", "epoch", "goal", begins.alias("begins")).filter("begins <= goal")
+    blocks = blocks.groupBy("of", "block", "goal").agg(F.collect_list(F.struct("epoch", "begins")).alias("runs"))
     joined = dealt.select("row", "tokens", "key", "of", "block", "weight").join(blocks.withColumnRenamed("of", "of_").withColumnRenamed("block", "block_"), F.col("of").eqNullSafe(F.col("of_")) & (F.col("block") == F.col("block_")))
     each = joined.select("row", "tokens", "key", "of", "block", "weight", "goal", F.explode("runs").alias("run"))
     inner = Window.partitionBy("of", "block", "run.epoch").orderBy(F.xxhash64(F.lit(seed + 2), "key", "run.epoch"), "key").rowsBetween(Window.unboundedPreceding, -1)
