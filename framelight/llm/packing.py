@@ -100,14 +100,16 @@ def pack(df: DataFrame, lengths: tuple[int, ...] = LENGTHS, overhead: int = OVER
     long (which of the document's tokens), bin string, bin_start long (tokens before it in the bin), bin_length int."""
     lengths = tuple(sorted(lengths))
     most = lengths[-1]
+    made = ("piece", "piece_start", "piece_tokens", "bin", "bin_start", "bin_length")
+    row = F.struct(*[F.col(f"`{c}`") for c in keep if c.lower() not in made])
     key = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns])
-    rows = df.select(*[F.col(f"`{c}`") for c in keep], key.alias("key_"), n_tokens(F.col(text)).alias("tokens_"))
+    rows = df.select(row.alias("row"), key.alias("key_"), n_tokens(F.col(text)).alias("tokens_"))
     number = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("tokens_") / most), F.lit(1)) - 1))
-    pieces = rows.select(*keep, "key_", "tokens_", number.alias("piece_")).withColumn("size_", F.least(F.lit(most), F.col("tokens_") - F.col("piece_") * most))
+    pieces = rows.select("row", "key_", "tokens_", number.alias("piece_")).withColumn("size_", F.least(F.lit(most), F.col("tokens_") - F.col("piece_") * most))
     n = rows.agg(F.coalesce(F.sum(F.greatest(F.ceil(F.col("tokens_") / most), F.lit(1))), F.lit(0))).first()[0]
     n_groups = max(1, math.ceil(n / group_pieces), min(shuffle_partitions(df.sparkSession), math.ceil(n / 500)))
     dealt = pieces.withColumn("group_", F.pmod(F.xxhash64("key_", "piece_"), F.lit(n_groups)).cast("int"))
-    out = T.StructType([dealt.schema[c] for c in keep] + [
+    out = T.StructType([dealt.schema["row"],
         T.StructField("piece", T.IntegerType()), T.StructField("piece_start", T.LongType()), T.StructField("piece_tokens", T.LongType()),
         T.StructField("bin", T.StringType()), T.StructField("bin_start", T.LongType()), T.StructField("bin_length", T.IntegerType()),
     ])
@@ -117,10 +119,10 @@ def pack(df: DataFrame, lengths: tuple[int, ...] = LENGTHS, overhead: int = OVER
         order = np.lexsort((group["piece_"].to_numpy(), group["key_"].to_numpy(), -group["size_"].to_numpy()))
         group = group.take(pa.array(order))
         bins, starts, final = pack_group(group["size_"].to_numpy(), lengths, overhead)
-        columns = [group[c] for c in keep] + [
-            group["piece_"].cast(pa.int32()), pa.array(group["piece_"].to_numpy() * most), group["size_"].cast(pa.int64()),
+        columns = [
+            group["row"], group["piece_"].cast(pa.int32()), pa.array(group["piece_"].to_numpy() * most), group["size_"].cast(pa.int64()),
             pa.array([f"{number}-{b}" for b in bins.tolist()]), pa.array(starts), pa.array(final[bins].astype(np.int32)),
         ]
         return pa.table(columns, names=out.names)
 
-    return dealt.groupBy("group_").applyInArrow(best_fit, out)
+    return dealt.groupBy("group_").applyInArrow(best_fit, out).select("row.*", *made)

@@ -449,6 +449,9 @@ def test_packing(docs, odd, empty):
         assert length == min(x for x in (16, 32, 64) if x >= used), "downsized to its contents"
     assert sum(words.values()) / sum(length for _, length in bins) > 0.9
     assert len(pack(odd).collect()) == len(ODD) and pack(empty).collect() == []
+    clash = docs.withColumns({c: F.col("doc_id") for c in ("key_", "tokens_", "size_", "group_", "row", "bin")})
+    kept = pack(clash, keep=("doc_id", "key_", "tokens_", "size_", "group_", "row", "bin"))
+    assert all(r.key_ == r.tokens_ == r.size_ == r.group_ == r.row == r.doc_id for r in kept.collect()) and dict(kept.dtypes)["bin"] == "string"
 
 
 def test_best_fit_takes_the_tightest_bin():
