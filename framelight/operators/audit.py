@@ -18,7 +18,7 @@ DECISIONS = {
     "complete_rework": (
         "COMPLETE REWORK", "Complete rework required",
         "MANUAL REVIEW — source image is not usable as-is and the generated fix is also not acceptable. A new/reworked source image is required. Automatic findings: ",
-        "Do not use the original or generated fix. Replace/rebuild the product image from a clean source, then run it through FBF again.",
+        "Do not use the original or generated fix. Replace/rebuild the product image from a clean source, then run it through the audit again.",
     ),
 }
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from framelight.functions.text import casefold, clean_text, is_noise_name
+from framelight.operators.gate import dedupe_candidates
 from framelight.functions.urls import bare, canonical_listing_url, is_paginated, match_url, same_origin
 from framelight.sources.html import structured_products
 
@@ -151,7 +152,14 @@ def enriched(products: DataFrame, structured: DataFrame) -> DataFrame:
 
 
 def scrape(nodes: DataFrame, strict: bool = True) -> DataFrame:
-    return enriched(dom_products(nodes, strict), structured_products(nodes))
+    """strict: products of the page's own markup, which structured data only enriches. Else structured products come first, then those of the
+    markup, one for each address (page_membership_* are null for structured ones)."""
+    structured, found = structured_products(nodes), dom_products(nodes, strict)
+    if strict:
+        return enriched(found, structured)
+    first = structured.withColumn("pos", F.col("at") - F.lit(1 << 40)).select(*[F.col(c) if c in (*structured.columns, "pos") else F.lit(None).cast("string").alias(c) for c in found.columns])
+    both = first.withColumn("structured_data_match", F.lit(True)).unionByName(found.withColumn("structured_data_match", F.lit(False)))
+    return dedupe_candidates(both)
 
 
 def single_products(nodes: DataFrame) -> DataFrame:
@@ -203,18 +211,21 @@ def pagination_links(nodes: DataFrame) -> DataFrame:
 
 def crawl(start: DataFrame, web: DataFrame, most: int = 25) -> DataFrame:
     """listing_id, url, pos, page_number: pages reached from start (listing_id, url) over web (url, links array), by breadth, ``most`` for
-    each listing; hops are joins of the frontier, and stop when none is new."""
+    each listing; hops are joins of the frontier, and stop when none is new. A page stands after those that were found before it: by hop, by
+    the rank of the page that links to it, and by the link's place there."""
     from framelight.functions.urls import page_number
 
-    seen = start.select("listing_id", canonical_listing_url("url").alias("url"), F.lit(0).alias("hop"), F.lit(0).alias("at")).dropDuplicates(["listing_id", "url"])
+    seen = start.select("listing_id", canonical_listing_url("url").alias("url"), F.lit(0).alias("hop"), F.lit(1).alias("rank")).dropDuplicates(["listing_id", "url"])
     web = web.select(canonical_listing_url("url").alias("url"), "links").dropDuplicates(["url"])
+    within = Window.partitionBy("listing_id").orderBy("place", "url")
     frontier = seen
     for hop in range(1, most):
-        new = frontier.join(web, "url").select("listing_id", F.posexplode("links").alias("at", "url"), F.col("at").alias("from")).withColumn("url", canonical_listing_url("url"))
-        new = new.join(seen.select("listing_id", "url"), ["listing_id", "url"], "left_anti").groupBy("listing_id", "url").agg(F.min(F.col("from") * 1000 + F.col("at")).cast("int").alias("at")).withColumn("hop", F.lit(hop))
-        frontier = new.select("listing_id", "url", "hop", "at").checkpoint()
+        new = frontier.join(web, "url").select("listing_id", "rank", F.posexplode("links").alias("at", "to"))
+        new = new.select("listing_id", canonical_listing_url("to").alias("url"), F.struct("rank", "at").alias("place")).groupBy("listing_id", "url").agg(F.min("place").alias("place"))
+        new = new.join(seen.select("listing_id", "url"), ["listing_id", "url"], "left_anti").withColumn("rank", F.row_number().over(within))
+        frontier = new.filter(F.col("rank") <= most).select("listing_id", "url", F.lit(hop).alias("hop"), "rank").checkpoint()  # more never count
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
-    rank = F.row_number().over(Window.partitionBy("listing_id").orderBy("hop", "at", "url"))
-    return seen.withColumn("pos", rank - 1).filter(F.col("pos") < most).select("listing_id", "url", "pos", page_number(F.col("url")).alias("page_number"))
+    pos = F.row_number().over(Window.partitionBy("listing_id").orderBy("hop", "rank")) - 1
+    return seen.withColumn("pos", pos).filter(F.col("pos") < most).select("listing_id", "url", "pos", page_number(F.col("url")).alias("page_number"))

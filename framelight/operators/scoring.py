@@ -1,6 +1,6 @@
 """Peers, issues and scores of a page's items."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelight.functions.binding import once
@@ -15,22 +15,24 @@ def peer_baselines(items: DataFrame, page: str = "page_id") -> DataFrame:
     """items with peer struct<group, axis, scale_median, align_axis, align_median, count>: of the item's own group (page, group_key),
     if two or more are in it, else of its page's wider group (profile_group_key). The axes are those of the standard profiles in every mode.
 
-    Medians are two aggregations and joins on narrow rows; a group's size bounds nothing."""
+    Medians are windows over the page's groups, so that items are made once and no table is read again for them."""
     m = F.col("metrics")
     high = lookup({k: "target_height" in p for k, p in PROFILES.items()}, F.col("profile"))
     bottom = lookup({k: p["alignment"] == "bottom_center" for k, p in PROFILES.items()}, F.col("profile"))
-    values = items.select(page, "group_key", "profile_group_key", F.when(high, m["height_occupancy"]).otherwise(m["width_occupancy"]).alias("scale"), F.when(bottom, m["baseline_y"]).otherwise(m["center_y"]).alias("line"))
+    scale = F.when(high, m["height_occupancy"]).otherwise(m["width_occupancy"])
+    line = F.when(bottom, m["baseline_y"]).otherwise(m["center_y"])
     out = items
     for key, name in (("group_key", "own"), ("profile_group_key", "wide")):
-        medians = values.groupBy(page, key).agg(F.struct(F.median("scale").alias("scale_median"), F.median("line").alias("align_median"), F.count(F.lit(1)).alias("count")).alias(name))
-        out = out.join(medians, [page, key])
+        group = Window.partitionBy(page, key)
+        medians = F.median(scale).over(group).alias("scale_median"), F.median(line).over(group).alias("align_median"), F.count(F.lit(1)).over(group).alias("count")
+        out = out.withColumn(name, F.struct(*medians))
     own = F.col("own.count") >= 2
     peer = F.when(own, F.col("own")).otherwise(F.col("wide"))
     group = F.when(own, F.col("group_key")).otherwise(F.concat(F.lit("profile::"), F.col("profile_group_key")))
     return out.withColumn("peer", once(F.struct(
         group.alias("group"), F.when(high, "height_occupancy").otherwise("width_occupancy").alias("axis"), peer["scale_median"].alias("scale_median"),
         F.when(bottom, "baseline_y").otherwise("center_y").alias("align_axis"), peer["align_median"].alias("align_median"), peer["count"].alias("count"),
-        F.when(high, m["height_occupancy"]).otherwise(m["width_occupancy"]).alias("scale"), F.when(bottom, m["baseline_y"]).otherwise(m["center_y"]).alias("line"),
+        scale.alias("scale"), line.alias("line"),
     ))).drop("own", "wide")
 
 

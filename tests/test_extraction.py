@@ -64,3 +64,13 @@ def test_single_products(spark, nodes):
     ]
     got = {r.page_id: (r.name, r.image_url[-5:], r.source) for r in single_products(page_nodes(spark.createDataFrame(pages, "page_id long, url string, html string"))).collect()}
     assert got == {1: ("Two", "2.png", "single_product_jsonld"), 2: ("Big Oven", "o.png", "single_product_og"), 3: ("Nice kettle", "a.png", "single_product_dom")}
+
+
+def test_crawl_goes_far_past_many_links(spark):
+    """25 hops where the next page is the last of 50 links, and more than a thousand links on a page."""
+    url = lambda i: f"{URL}?page={i}" if i > 1 else URL
+    web = [(url(i), [f"https://shop.example.com/about/{j}" for j in range(1200 if i == 1 else 49)] + [url(i + 1)]) for i in range(1, 40)]
+    pages = crawl(spark.createDataFrame([("l", URL)], "listing_id string, url string"), spark.createDataFrame([(u, [x for x in links if "page" in x]) for u, links in web], "url string, links array<string>"))
+    assert [r.url for r in pages.orderBy("pos").collect()] == [url(i) for i in range(1, 26)]
+    wide = crawl(spark.createDataFrame([("l", URL)], "listing_id string, url string"), spark.createDataFrame(web, "url string, links array<string>"))
+    assert [r.url for r in wide.orderBy("pos").collect()] == [URL, *(f"https://shop.example.com/about/{j}" for j in range(24))]
