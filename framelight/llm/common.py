@@ -1,6 +1,7 @@
 """What several operators share: tables, settled intermediate results, doc_id ranges."""
 
 import math
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,10 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, which spark.checkpoint.dir must name: a folder of the driver's own is not seen by executors."""
+    """The cluster's shared folder. One of its own only where spark.checkpoint.dir is unset in local mode, as in tests: on a cluster
+    executors would not see it."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+        if not spark.conf.get("spark.master", "").startswith(("local[", "local-cluster")) and spark.conf.get("spark.master", "") != "local":
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+        at = f"file://{tempfile.mkdtemp(prefix='framelight-')}"
+        spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
