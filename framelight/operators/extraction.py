@@ -3,6 +3,7 @@
 Each element knows its ancestors, so that cards, sections and links are joins on (page_id, id): one between images and
 their nearest ancestors, and aggregates of what lies below an ancestor."""
 
+import tempfile
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -209,6 +210,17 @@ def pagination_links(nodes: DataFrame) -> DataFrame:
     return rows.select("page_id", F.row_number().over(Window.partitionBy("page_id").orderBy("place")).alias("pos"), "link")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed and without its lineage, in the cluster's shared folder (one of its own only where none is set, in local mode)."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not at and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+        context.setCheckpointDir(at or f"file://{tempfile.mkdtemp()}")
+    return df.checkpoint()
+
+
 def crawl(start: DataFrame, web: DataFrame, most: int = 25) -> DataFrame:
     """listing_id, url, pos, page_number: pages reached from start (listing_id, url) over web (url, links array), by breadth, ``most`` for
     each listing; hops are joins of the frontier, and stop when none is new. A page stands after those that were found before it: by hop, by
@@ -216,14 +228,15 @@ def crawl(start: DataFrame, web: DataFrame, most: int = 25) -> DataFrame:
     from framelight.functions.urls import page_number
 
     seen = start.select("listing_id", canonical_listing_url("url").alias("url"), F.lit(0).alias("hop"), F.lit(1).alias("rank")).dropDuplicates(["listing_id", "url"])
-    web = web.select(canonical_listing_url("url").alias("url"), "links").dropDuplicates(["url"])
+    seen, web = cut(seen), cut(web.select(canonical_listing_url("url").alias("url"), "links").dropDuplicates(["url"]))  # each hop reads them
     within = Window.partitionBy("listing_id").orderBy("place", "url")
     frontier = seen
     for hop in range(1, most):
         new = frontier.join(web, "url").select("listing_id", "rank", F.posexplode("links").alias("at", "to"))
         new = new.select("listing_id", canonical_listing_url("to").alias("url"), F.struct("rank", "at").alias("place")).groupBy("listing_id", "url").agg(F.min("place").alias("place"))
         new = new.join(seen.select("listing_id", "url"), ["listing_id", "url"], "left_anti").withColumn("rank", F.row_number().over(within))
-        frontier = new.filter(F.col("rank") <= most).select("listing_id", "url", F.lit(hop).alias("hop"), "rank").checkpoint()  # more never count
+        frontier = new.filter(F.col("rank") <= most).select("listing_id", "url", F.lit(hop).alias("hop"), "rank")  # more never count
+        frontier = cut(frontier)
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)

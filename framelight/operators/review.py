@@ -79,12 +79,13 @@ def unique_names(rows: DataFrame, scope: str = "page_id", name: str = "name", or
     """rows with file_name: safe names, a second one of a scope ending in __2, and so on past names that are taken already."""
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
-        group, used, out = group.sort_values(order), set(), []
+        group, used, following, out = group.sort_values(order), set(), {}, []
         for value in group[name]:
             base = path_component(value, "Product", 120)
-            made, n = base, 2
+            made, n = base, following.get(base, 2)  # numbers below are taken
             while made.casefold() in used:
                 made, n = f"{base}__{n}", n + 1
+            following[base] = n
             used.add(made.casefold())
             out.append(made)
         return group.assign(file_name=out)
@@ -93,27 +94,23 @@ def unique_names(rows: DataFrame, scope: str = "page_id", name: str = "name", or
     return rows.groupBy(scope).applyInPandas(one, f"{fields}, file_name string")
 
 
-def number_pages(pages: DataFrame, most: int = 25) -> DataFrame:
-    """Pages of a listing (listing_id, pos, url, page_number or null) with numbers for all: the first page is 1, if that is free, others take the
-    least free numbers in the order found; sorted by number and address, the first ``most``, labelled. Listings are short; each is one group."""
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("pos")
-        used, numbers, free = {int(n) for n in group.page_number.dropna()}, [], 1
-        for i, n in enumerate(group.page_number):
-            if pd.isna(n):
-                if i == 0 and 1 not in used:
-                    n = 1
-                else:
-                    while free in used:
-                        free += 1
-                    n = free
-                used.add(int(n))
-            numbers.append(int(n))
-        out = group.assign(page_number=numbers).sort_values(["page_number", "url"]).head(most)
-        return out.assign(page_label=[f"Page {n}" for n in out.page_number])[["listing_id", "url", "page_number", "page_label"]]
-
-    return pages.groupBy("listing_id").applyInPandas(one, f"listing_id {pages.schema['listing_id'].dataType.simpleString()}, url string, page_number long, page_label string")
+def number_pages(pages: DataFrame, most: int | None = 25) -> DataFrame:
+    """Pages of a listing (listing_id, pos, url, page_number or null) with numbers for all: those without one take the least free numbers
+    in the order found (so the first page is 1, if that is free); labelled, by number and address the first ``most``.
+
+    The j-th free number is j and as many more as there are taken numbers that have less than j free ones below: the i-th taken
+    number has its own value less i of them. Both are windows over a listing's rows."""
+    listing = Window.partitionBy("listing_id")
+    taken = pages.filter("page_number IS NOT NULL").select("listing_id", F.col("page_number").cast("long").alias("number")).distinct()
+    taken = taken.select("listing_id", (F.col("number") - F.row_number().over(listing.orderBy("number"))).alias("free"), F.lit(0).alias("open"), F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("url"))
+    wanting = pages.filter("page_number IS NULL").select("listing_id", (F.row_number().over(listing.orderBy("pos")) - 1).cast("long").alias("free"), F.lit(1).alias("open"), "pos", "url")
+    before = F.sum(1 - F.col("open")).over(listing.orderBy("free", "open").rowsBetween(Window.unboundedPreceding, 0))
+    numbered = taken.withColumn("pos", F.col("pos").cast(pages.schema["pos"].dataType)).unionByName(wanting).withColumn("number", F.col("free") + 1 + F.coalesce(before, F.lit(0)))
+    told = pages.filter("page_number IS NOT NULL").select("listing_id", "url", F.col("page_number").cast("long").alias("page_number"))
+    out = told.unionByName(numbered.filter("open = 1").select("listing_id", "url", F.col("number").cast("long").alias("page_number")))
+    if most is not None:
+        out = out.withColumn("nth", F.row_number().over(listing.orderBy("page_number", "url"))).filter(F.col("nth") <= most).drop("nth")
+    return out.withColumn("page_label", F.concat(F.lit("Page "), F.col("page_number")))
 
 
 def calibration(items: DataFrame, page: str = "page_id") -> DataFrame:

@@ -260,23 +260,24 @@ def _orders(spark: SparkSession, sf_dir: str, condition: str) -> DataFrame:
 
 
 _ROWS = "SELECT o_orderpriority AS m, o_orderstatus AS s, 'Page ' || (o_custkey % 50) AS p, 'https://shop.example.com/o/' || (o_orderkey % 4000) AS u, o_totalprice AS price, o_orderkey AS seq FROM orders WHERE"
+_OLD, _FRESH = " o_orderdate < TIMESTAMP '2001-07-01 00:00:00'", " o_orderdate >= TIMESTAMP '2001-07-01 00:00:00'"  # all orders are on one side
 _DEDUPED = "SELECT m, s, p, u, arg_max(price, seq) AS price, min(seq) AS seq FROM ({0}) GROUP BY m, s, p, u"
 
 
-@query(f"""WITH old AS ({_DEDUPED.format(_ROWS + " o_orderkey % 3 <> 0")}), fresh AS ({_DEDUPED.format(_ROWS + " o_orderkey % 3 = 0 AND o_custkey % 50 < 20")}),
+@query(f"""WITH old AS ({_DEDUPED.format(_ROWS + _OLD)}), fresh AS ({_DEDUPED.format(_ROWS + _FRESH)}),
 kept AS (SELECT * FROM old ANTI JOIN (SELECT DISTINCT m, s, p FROM fresh) USING (m, s, p))
 SELECT m AS main_category, s AS subcategory, p AS page_label, u AS product_url, price, part FROM (SELECT *, 0 AS part FROM kept UNION ALL SELECT *, 1 AS part FROM fresh)""")
 def master_replace_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of new rows replace the stored ones."""
-    out, _ = upsert(_orders(spark, sf_dir, "o_orderkey % 3 <> 0"), _orders(spark, sf_dir, "o_orderkey % 3 = 0 AND o_custkey % 50 < 20"))
+    out, _ = upsert(_orders(spark, sf_dir, _OLD), _orders(spark, sf_dir, _FRESH))
     return out.select("main_category", "subcategory", "page_label", "product_url", "price", "part")
 
 
-@query(f"""WITH old AS ({_DEDUPED.format(_ROWS + " o_orderkey % 3 <> 0")}), fresh AS (SELECT * FROM ({_DEDUPED.format(_ROWS + " o_orderkey % 3 = 0")}) ANTI JOIN old USING (m, s, p, u))
+@query(f"""WITH old AS ({_DEDUPED.format(_ROWS + _OLD)}), fresh AS (SELECT * FROM ({_DEDUPED.format(_ROWS + _FRESH)}) ANTI JOIN old USING (m, s, p, u))
 SELECT (SELECT count(*) FROM old) AS before, (SELECT count(*) FROM old) + (SELECT count(*) FROM fresh) AS after, (SELECT count(*) FROM fresh) AS added, CAST(0 AS BIGINT) AS removed""")
 def master_append_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What appending adds."""
-    return upsert(_orders(spark, sf_dir, "o_orderkey % 3 <> 0"), _orders(spark, sf_dir, "o_orderkey % 3 = 0"), "append")[1]
+    return upsert(_orders(spark, sf_dir, _OLD), _orders(spark, sf_dir, _FRESH), "append")[1]
 
 
 @query(f"""WITH {ITEMS_SQL}, r AS (SELECT page_id, own_key AS group_key, profile, CASE WHEN profile IN ('tall', 'boxy', 'compact') THEN height_occupancy ELSE width_occupancy END AS side, baseline_y AS b FROM grouped),
@@ -288,22 +289,27 @@ def page_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibration(analysed(catalog(spark, sf_dir))).drop("profile")
 
 
+@query("""WITH n AS (SELECT p_partkey // 40 AS page_id, p_partkey AS pos, 'A/B: ' || p_partkey % 7 AS name FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY page_id, name ORDER BY pos) AS nth FROM n)
+SELECT page_id, pos, replace(replace(name, '/', '_'), ':', '_') || '__' || left(sha256(name), 8) || CASE WHEN nth > 1 THEN '__' || nth ELSE '' END AS file_name FROM r""")
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Safe names, unique on each page."""
-    rows = catalog(spark, sf_dir).select("page_id", "pos", F.concat(F.lit("A/B: "), F.col("pos") % 7).alias("name"))
+    """Safe names, unique on each page of 40 items."""
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey div 40 AS page_id", "p_partkey AS pos", "'A/B: ' || CAST(p_partkey % 7 AS STRING) AS name")
     return unique_names(rows).select("page_id", "pos", "file_name")
 
 
-QUERIES["file_names"] = file_names
+_NUMBERED = r"""WITH p AS (SELECT regexp_extract(url, '://([^/]*)', 1) AS listing_id, page_id, url, TRY_CAST(nullif(regexp_extract(url, '[?&](page|paged|pageno|page_no|page-number|page_number|pg|product-page|product_page)=([0-9]+)', 2), '') AS BIGINT) AS n FROM pages),
+u AS (SELECT listing_id, n - row_number() OVER (PARTITION BY listing_id ORDER BY n) AS below FROM (SELECT DISTINCT listing_id, n FROM p WHERE n IS NOT NULL)),
+w AS (SELECT listing_id, url, page_id, row_number() OVER (PARTITION BY listing_id ORDER BY page_id) AS j FROM p WHERE n IS NULL),
+f AS (SELECT w.listing_id, w.url, w.page_id, j + count(u.below) AS n FROM w LEFT JOIN u ON w.listing_id = u.listing_id AND u.below < j GROUP BY w.listing_id, w.url, w.page_id, j)
+SELECT listing_id, url, CAST(n AS BIGINT) AS page_number, 'Page ' || n AS page_label FROM (SELECT listing_id, url, n FROM p WHERE n IS NOT NULL UNION ALL SELECT listing_id, url, n FROM f)"""
 
 
+@query(_NUMBERED)
 def listing_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers for all pages of each host's listing."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.regexp_extract("url", "://([^/]*)", 1).alias("listing_id"), F.col("page_id").alias("pos"), "url", page_number(F.col("url")).alias("page_number"))
-    return number_pages(pages)
-
-
-QUERIES["listing_numbers"] = listing_numbers
+    return number_pages(pages, None)
 
 
 def undo_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -330,7 +336,7 @@ def remembered_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {ITEMS_SQL}, r AS (SELECT page_id, pos, CASE WHEN pos % 2 = 0 THEN 'dom' ELSE 'jsonld' END AS source, item_category FROM items)
 SELECT page_id, source, count(*) AS n, count(item_category) AS known FROM r GROUP BY ALL""")
 def source_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals by page and source."""
+    """Items by page and source, and how many have a category."""
     rows = analysed(catalog(spark, sf_dir)).withColumn("source", F.when(F.col("pos") % 2 == 0, "dom").otherwise("jsonld"))
     return rows.groupBy("page_id", "source").agg(F.count(F.lit(1)).alias("n"), F.count("item_category").alias("known"))
 
