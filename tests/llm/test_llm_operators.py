@@ -156,6 +156,14 @@ def test_line_dedup(docs, odd, empty):
     assert drop_frequent_lines(empty).collect() == []
 
 
+def test_line_dedup_counts_rows(spark):
+    """A row is a document, also where rows share an id: ten of them make a line frequent, nine do not."""
+    for n in (9, 10):
+        rows = [(7, f"same\nown {i}", "s") for i in range(n)]
+        got = drop_frequent_lines(spark.createDataFrame(rows, SCHEMA), 10).collect()
+        assert {(r.n_lines, r.n_dropped) for r in got} == {(2, int(n == 10))} and len(got) == n
+
+
 def test_line_dedup_salts_what_most_documents_hold(spark, monkeypatch):
     """More frequent keys than are salted: both ways of the join, and null ids, give the same."""
     import framelight.llm.line_dedup as module
@@ -461,3 +469,23 @@ def test_best_fit_takes_the_tightest_bin():
         assert s == used[b]
         used[b] += n
     assert all(used[b] <= final[b] for b in used) and sum(used.values()) == 169
+
+
+def test_very_long_texts(spark):
+    """Texts longer than what is worked on at once: a copy, a near copy, and a passage at the end of one of them."""
+    from framelight.llm.words import SLICE
+
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in rng.integers(0, 50_000, 220_000)]
+    words[1000::1000] = [f"{w}\n" for w in words[1000::1000]]
+    text = " ".join(words)
+    rows = [(1, text, "s"), (2, text, "s"), (3, text.replace("w7 ", "x7 "), "s"), (4, "before " + text[-3000:], "s")]
+    assert len(text) > SLICE
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in drop_repeated_windows(df).collect()} == brute_windows(rows, 13)
+    assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in drop_frequent_lines(df, 3).collect()) == sorted(brute_lines(rows, 3))
+    assert {r.doc_id: r.class_id for r in near_classes(df).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+    assert {r.doc_id: r.n_tokens for r in score_documents(df, F.lit(True)).collect()} == {i: len(t.split()) + 1 for i, t, _ in rows}
+    assert sum(r.piece_tokens for r in pack(df).collect()) == sum(len(t.split()) for _, t, _ in rows)
+    assert {r.doc_id: r.n_chars for r in edited_fingerprints(df).collect()} == {i: len(t) for i, t, _ in rows}
+    assert len(shuffle_into_shards(df, 2).collect()) == 4 and {r.doc_id for r in mix_sources(df).collect()} == {1, 2, 3, 4}

@@ -53,3 +53,21 @@ def test_pipeline(spark):
         if name == "packing":
             assert out.agg(F.sum("piece_tokens")).first()[0] > 0
         docs = out
+
+
+@pytest.mark.parametrize("kind", ["empty", "odd"])
+def test_stages_on_odd_documents(spark, kind):
+    """Empty tables, null and repeated ids, null and empty texts, in every stage."""
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    odd = [(None, None, None, None, None), (None, "no id here at all", "en", "a", 17), (-1, "", None, None, 0), (-2, " \n\t", "en", "a", 3), (-3, "one two", "en", "b", 7), (-3, "one two", "en", "b", 7), (-4, "one two three", "de", None, 13)]
+    docs = spark.createDataFrame(odd if kind == "odd" else [], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF).collect()
+        if kind == "empty":
+            assert out == []
+        elif name == "near dedup":
+            assert sorted(r.text or "" for r in out) == sorted({t or "" for _, t, *_ in odd})
+        elif name in ("toxicity", "line dedup"):
+            assert len(out) == len(odd), "clean documents stay"
+        else:
+            assert {r.doc_id for r in out} == {r[0] for r in odd}
