@@ -2,9 +2,11 @@
 
 Every text is split at newlines; a line's key is the line stripped of ASCII whitespace and lower-cased in
 A-Z, hashed to 128 bits. Documents are counted per key, each task adding up its own documents first. Keys
-in at least ``min_docs`` documents lose all their lines; what stays is put together again by position. Documents meet
-their frequent keys in one join, in which the HOT most frequent keys are salted by document: no task gets all documents of a
-line that a third of them hold. Any other key has at most a part of 1 / HOT of all pairs of document and key.
+in at least ``min_docs`` documents lose all their lines: lines are exploded with their positions and keys, those with a frequent
+key become positions lost, and each text is put together again from the positions that stay. Lines meet
+the frequent keys in one join, in which the HOT most frequent keys are salted by document: no task gets all documents of a
+line that a third of them hold. Any other key has at most a part of 1 / HOT of all pairs of document and key. A text's place in
+that join is its id and a hash of 64 bits, so rows that share an id and differ in text stay apart.
 
 Defined cases: null and empty texts are one empty line and come back as they were; keys shorter than ``min_chars`` code points
 never count; a document that holds a line twice counts once; rows that share an id count as
@@ -56,29 +58,39 @@ def frequent_keys(df: DataFrame, min_docs: int, min_chars: int, text: str = "tex
 def drop_frequent_lines(df: DataFrame, min_docs: int = 10, min_chars: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """df's columns, its text without the lines whose keys are frequent, and n_lines, n_dropped."""
     rest = [c for c in df.columns if c.lower() not in ("n_lines", "n_dropped", text.lower())]
-    rows = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"))
+    rows = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.xxhash64(F.lit(9), text).alias("mark"))
 
     frequent = settle(frequent_keys(rows, min_docs, min_chars))
     hot = frozenset(bytes(r["key"]) for r in frequent.orderBy(F.desc("docs"), "key").limit(HOT).collect())
     salts = shuffle_partitions(df.sparkSession)
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, found, salt = [], [], []
-            for i, (x, s) in enumerate(zip(batch.column(1), batch.column(2).to_pylist(), strict=True)):
-                new = text_keys(x.as_py(), min_chars)
-                at += [i] * len(new)
-                found += new
-                salt += [s if key in hot else 0 for key in new]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.binary()), pa.array(salt, pa.int32())], ["id", "key", "salt"])
-
-    id_type = rows.schema["id"].dataType
-    salted = rows.select("id", "text", F.pmod(F.xxhash64(F.lit(8), "id", "text"), F.lit(salts)).cast("int").alias("salt"))
-    pairs = salted.mapInArrow(keys, T.StructType([T.StructField("id", id_type), T.StructField("key", T.BinaryType()), T.StructField("salt", T.IntegerType())]))
+            at, pos, found, salt = [], [], [], []
+            for i, (x, s) in enumerate(zip(batch.column(1), batch.column(3).to_pylist(), strict=True)):
+                for p, line in enumerate((x.as_py() or "").encode().split(b"\n")):
+                    key = line_key(line, min_chars)
+                    if key is not None:
+                        at.append(i)
+                        pos.append(p)
+                        found.append(key)
+                        salt.append(s if key in hot else 0)
+            of = pa.array(at, pa.int64())
+            columns = [batch.column(0).take(of), batch.column(2).take(of), pa.array(pos, pa.int32()), pa.array(found, pa.binary()), pa.array(salt, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "mark", "pos", "key", "salt"])
+
+    line_schema = T.StructType([
+        rows.schema["id"], rows.schema["mark"], T.StructField("pos", T.IntegerType()),
+        T.StructField("key", T.BinaryType()), T.StructField("salt", T.IntegerType()),
+    ])
+    salted = rows.select("id", "text", "mark", F.pmod(F.xxhash64(F.lit(8), "id", "text"), F.lit(salts)).cast("int").alias("salt"))
+    exploded = salted.mapInArrow(lines, line_schema)
     salty = F.broadcast(df.sparkSession.createDataFrame([(k,) for k in sorted(hot)], "key binary").withColumn("last", F.lit(salts - 1)))  # HOT rows at most
     wanted = frequent.join(salty, "key", "left").select("key", F.explode(F.sequence(F.lit(0), F.coalesce("last", F.lit(0)))).alias("salt"))
-    lost = pairs.join(wanted, ["key", "salt"], "left_semi").groupBy(F.col("id").alias("lost_id")).agg(F.collect_set("key").alias("lost"))
-    joined = rows.join(lost, F.col("id").eqNullSafe(F.col("lost_id")), "left").select("row", "text", "lost")
+    gone = exploded.join(wanted, ["key", "salt"], "left_semi")
+    lost = gone.groupBy(F.col("id").alias("lost_id"), F.col("mark").alias("lost_mark")).agg(F.collect_set("pos").alias("lost"))
+    same = F.col("id").eqNullSafe(F.col("lost_id")) & (F.col("mark") == F.col("lost_mark"))
+    joined = rows.join(lost, same, "left").select("row", "text", "lost")
     schema = T.StructType([joined.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +100,7 @@ def drop_frequent_lines(df: DataFrame, min_docs: int = 10, min_chars: int = 1, d
                 whole = x.as_py()
                 gone = set(lost.as_py() or ())
                 lines = (whole or "").encode().split(b"\n")
-                kept = [y for y in lines if line_key(y, min_chars) not in gone] if gone else lines
+                kept = [y for at, y in enumerate(lines) if at not in gone] if gone else lines
                 texts.append(b"\n".join(kept).decode() if len(kept) < len(lines) else whole)
                 counts.append(len(lines))
                 drops.append(len(lines) - len(kept))
