@@ -93,6 +93,16 @@ def standard(name: Column, category: Column, kind: Column, mode: str = "standard
     return let(let(choose(name, table), own), relaxed)
 
 
+def overridden(goal: Column, name: Column, target: Column, baseline: Column) -> Column:
+    """``goal`` with a page's own figures on top (target null: none): the profile's limit and alignment come with them, its baseline where
+    the page has none. Profiles and goals measure the same side but for the shapes that replace a profile; those keep their goal."""
+    of = lambda key, default=None: lookup({k: p.get(key, default) for k, p in PROFILES.items() if p.get(key, default) is not None}, name)
+    high = lookup({k: "target_height" in p for k, p in PROFILES.items()}, name)
+    other = F.when(high, of("max_width")).otherwise(of("max_height"))
+    own = F.struct(goal["axis"].alias("axis"), target.cast("double").alias("target"), other.cast("double").alias("other"), of("alignment").alias("alignment"), F.coalesce(baseline, of("baseline"), goal["baseline"]).cast("double").alias("baseline"))
+    return F.when(target.isNotNull() & (high == (goal["axis"] == "height")), own).otherwise(goal)
+
+
 def on_card(m: Column) -> Column:
     """Metrics as the product appears when its image is fitted into a square card."""
     w, h = F.greatest(F.lit(1.0), m["image_width"].cast("double")), F.greatest(F.lit(1.0), m["image_height"].cast("double"))

@@ -130,3 +130,17 @@ def should_normalize(scope: Column, status: Column, decision: Column, has_edit:
     """Whether a showcase makes a corrected image: never for a kept original, always for an edited product, else by scope or finding."""
     d = F.coalesce(decision, F.lit(""))
     return (d != "keep_original") & (has_edit | (scope == "all") | (status != "pass") | (d == "use_fixed"))
+
+
+def dragged_tuning(tuning: Column, everywhere: Column, base: Column, dragged: Column) -> Column:
+    """tuning after its box (struct x, y, w, h, shares of the card) was dragged from ``base``: the scale by the mean of both sides' factors, on
+    top of what ``everywhere`` already scales; the nudges by how far the centre went. All within RANGES, the other fields as they were."""
+    n = lambda s, k: F.coalesce(s[k], F.lit(0.0))
+    side = {k: F.greatest(n(base, k), F.lit(1e-6)) for k in ("w", "h")}
+    now = {k: F.coalesce(dragged[k], side[k]) for k in side}
+    factor = F.greatest(F.lit(0.25), F.least(F.lit(4.0), (now["w"] / side["w"] + now["h"] / side["h"]) / 2.0))
+    within = lambda k, c: F.greatest(F.lit(RANGES[k][0]), F.least(F.lit(RANGES[k][1]), c))
+    gone = lambda at, size: F.coalesce(dragged[at], n(base, at)) + now[size] / 2.0 - (n(base, at) + side[size] / 2.0)
+    scale = (1.0 + n(everywhere, "scale_bias") + n(tuning, "scale_bias")) * factor - 1.0 - n(everywhere, "scale_bias")
+    new = {"scale_bias": scale, "x_nudge": n(tuning, "x_nudge") + gone("x", "w"), "y_nudge": n(tuning, "y_nudge") + gone("y", "h")}
+    return F.struct(*[tuning[k].alias(k) for k in MODES], *[(within(k, new[k]) if k in new else tuning[k]).alias(k) for k in RANGES])

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from framelight.functions.binding import once
 from framelight.functions.fixed_values import PROFILES
-from framelight.functions.geometry import agreement, framing, lookup, on_card, standard
+from framelight.functions.geometry import agreement, framing, lookup, on_card, overridden, standard
 from framelight.functions.text import percent, python_fixed
 
 SUSPECT = "Foreground detection looks unreliable"
@@ -128,3 +128,17 @@ def page_summary(scored: DataFrame, failures: DataFrame | None = None, page: str
         rows = rows.unionByName(failures.select(page, F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(1).alias("c")))
     counts = rows.groupBy(page).agg(F.sum("a").alias("analyzed_count"), F.sum("b").alias("flagged_count"), F.sum("c").alias("failed_count"))
     return counts.select("*", *summarise(F.col("analyzed_count"), F.col("flagged_count"), F.col("failed_count")))
+
+
+def corrections(items: DataFrame, overrides: DataFrame | None = None, mode: str = "strict", page: str = "page_id") -> DataFrame:
+    """items with the correction that a normaliser would make (fix) and the goal it aims at; ``overrides`` (page, group_key, target_height or
+    target_width, baseline; one row for each group, as calibration() makes them) take the standard's place for their groups."""
+    m, name, kind, category = F.col("metrics"), F.col("profile"), F.col("subtype"), F.col("item_category")
+    rows = items.withColumn("goal", standard(name, category, kind, mode)).withColumn("card", once(on_card(m)))
+    if overrides is None:
+        rows = rows.withColumn("overridden", F.lit(False))
+    else:
+        own = overrides.select(page, "group_key", F.coalesce("target_height", "target_width").alias("own_target"), F.col("baseline").alias("own_baseline"))
+        rows = rows.join(own, [page, "group_key"], "left").withColumn("goal", once(overridden(F.col("goal"), name, F.col("own_target"), F.col("own_baseline"))))
+        rows = rows.withColumn("overridden", F.col("own_target").isNotNull())
+    return rows.select(*items.columns, "overridden", "goal", once(agreement(m, F.col("card"), category, kind, F.col("goal"), mode)).alias("fix"))
