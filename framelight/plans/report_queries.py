@@ -124,7 +124,7 @@ def package_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of a review package and of an export of the items that a showcase corrects."""
     items = _showcase(spark, sf_dir)
     selected = items.filter(F.col("changed") | F.col("normalization_error").isNotNull()).withColumn("error", F.col("normalization_error"))
-    return review_counts(items.withColumn("has_fix", F.col("changed"))).crossJoin(export_counts(selected, True))  # one row each
+    return review_counts(items.withColumn("has_fix", F.col("changed"))).withColumn("flagged_only", F.lit(True)).join(export_counts(selected, True), "flagged_only")
 
 
 @query(f"""WITH {SCORED_SQL}, cal_rows AS (SELECT page_id, own_key, profile, CASE WHEN profile IN ('tall', 'boxy', 'compact') THEN height_occupancy ELSE width_occupancy END AS side, baseline_y AS b FROM grouped),
