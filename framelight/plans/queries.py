@@ -321,15 +321,21 @@ def undo_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["undo_histories"] = undo_histories
 
 
+def settings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Items under review, and a library of remembered settings."""
+    items = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("item_id"), F.concat(F.lit("https://X.example/p/"), F.col("c_custkey") % 100, F.lit("/?q=1")).alias("product_url"), F.concat(F.lit("Model "), F.col("c_nationkey") % 5).alias("name"), F.lit("").alias("item_category"), F.lit("").alias("item_archetype"))
+    library = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.lpad(F.col("s_suppkey").cast("string"), 6, "0").alias("identity"), F.concat(F.lit("https://x.example/p/"), F.col("s_suppkey")).alias("product_url"), F.concat(F.lit("model "), F.col("s_nationkey") % 5).alias("normalized_name"),
+                                                                               F.lit("").alias("category"), F.lit("").alias("archetype"), F.concat(F.lit("2024-01-01T00:00:"), F.lpad(F.col("s_nationkey").cast("string"), 2, "0"), F.lit("Z")).alias("saved_at"), F.lit(None).cast("string").alias("updated_at"), F.lit("bad").alias("created_at"))
+    return items, library
+
+
 @query("""WITH t AS (SELECT c_custkey AS item_id, c_nationkey % 5 AS k, c_mktsegment AS c FROM customer), e AS (SELECT s_suppkey AS identity, s_nationkey % 5 AS k, s_nationkey AS n FROM supplier),
 m AS (SELECT item_id, identity, CASE WHEN item_id % 100 = identity THEN 100 ELSE 75 END AS score, e.n FROM t JOIN e ON item_id % 100 = identity OR t.k = e.k),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, n DESC, lpad(identity::VARCHAR, 6, '0')) AS rank FROM m)
 SELECT item_id, identity, score AS match_score, rank FROM r WHERE rank <= 4""")
 def remembered_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best remembered entries of each item, by address, then by name, the newest first."""
-    items = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("item_id"), F.concat(F.lit("https://X.example/p/"), F.col("c_custkey") % 100, F.lit("/?q=1")).alias("product_url"), F.concat(F.lit("Model "), F.col("c_nationkey") % 5).alias("name"), F.lit("").alias("item_category"), F.lit("").alias("item_archetype"))
-    library = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.lpad(F.col("s_suppkey").cast("string"), 6, "0").alias("identity"), F.concat(F.lit("https://x.example/p/"), F.col("s_suppkey")).alias("product_url"), F.concat(F.lit("model "), F.col("s_nationkey") % 5).alias("normalized_name"),
-                                                                               F.lit("").alias("category"), F.lit("").alias("archetype"), F.concat(F.lit("2024-01-01T00:00:"), F.lpad(F.col("s_nationkey").cast("string"), 2, "0"), F.lit("Z")).alias("saved_at"), F.lit(None).cast("string").alias("updated_at"), F.lit("bad").alias("created_at"))
+    items, library = settings(spark, sf_dir)
     return exception_suggestions(items, library).select("item_id", F.col("identity").cast("long").alias("identity"), "match_score", "rank")
 
 

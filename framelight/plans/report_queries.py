@@ -5,15 +5,16 @@ from pyspark.sql import functions as F
 
 from framelight.functions.fixed_values import CATEGORY_TERMS
 from framelight.functions.urls import candidate_key
+from framelight.operators.edits import load_remembered, remembered_drafts, reset_products, with_applied_edits
 from framelight.operators.gate import gated
-from framelight.operators.review import calibration, dragged_tuning, should_normalize
+from framelight.operators.review import calibration, dragged_tuning, edit_history, exception_suggestions, should_normalize
 from framelight.operators.scoring import corrections, page_summary, score_items
 from framelight.operators.totals import (
     RECOVERED, detection_report, excluded_everywhere, export_counts, membership_totals, page_counts, review_counts, scans_summary, showcase_counts, showcase_manifest,
     showcase_shown,
 )
 from framelight.plans.catalog import CATALOG_SQL, analysed, catalog
-from framelight.plans.queries import _CLEAN, _EVENT, ITEMS_SQL, SCORED_SQL, SCORES_SQL, _decided, query
+from framelight.plans.queries import ORACLE_SQL, _CLEAN, _EVENT, ITEMS_SQL, SCORED_SQL, SCORES_SQL, _decided, query, settings
 
 FORCED = 10  # every item whose number leaves this remainder by 11 was put back by an operator
 
@@ -158,3 +159,41 @@ def dragged_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     box = lambda p: F.struct(*[F.col(p + k).alias(k) for k in "xywh"])
     after = rows.select("pos", dragged_tuning(tuning, F.struct(F.col("everywhere").alias("scale_bias")), box(""), box("to_")).alias("t"))
     return after.select("pos", *[(F.round(F.col("t")[k], 8) + F.lit(0.0)).alias(k) for k in ("scale_bias", "x_nudge", "y_nudge")])
+
+
+_EDITS = """SELECT p_partkey AS product_key, n AS seq, CASE WHEN (p_partkey + n) % 5 = 0 THEN NULL WHEN (p_partkey + n) % 5 = 1 THEN '' ELSE concat('edit', p_partkey, '.', n) END AS image,
+p_partkey * 10 + n AS metrics, CASE WHEN n = 2 THEN 'single' END AS subtype FROM {part} CROSS JOIN (VALUES (1), (2), (3)) AS v(n) WHERE n <= p_partkey % 4"""
+_SHOWN = """SELECT p_partkey AS product_key, CASE p_partkey % 7 WHEN 0 THEN 'keep_original' WHEN 1 THEN 'complete_rework' WHEN 2 THEN 'generate_fix' END AS operator_decision,
+CASE WHEN p_partkey % 3 = 0 THEN concat('made', p_partkey) END AS image, p_partkey % 3 = 0 AS changed, -1 AS metrics, 'multi' AS subtype FROM {part}"""
+
+
+@query(f"""WITH e AS (SELECT *, row_number() OVER (PARTITION BY product_key ORDER BY seq DESC) AS nth FROM ({_EDITS.replace("{part}", "part")})), s AS ({_SHOWN.replace("{part}", "part")}),
+j AS (SELECT s.*, e.image AS e_image, e.metrics AS e_metrics, e.subtype AS e_subtype, coalesce(e.image <> '', false) AND coalesce(operator_decision NOT IN ('keep_original', 'complete_rework'), true) AS wins FROM s LEFT JOIN e ON s.product_key = e.product_key AND nth = 1)
+SELECT product_key, CASE WHEN wins THEN e_image ELSE image END AS image, CASE WHEN wins THEN e_metrics ELSE metrics END AS metrics, CASE WHEN wins THEN e_subtype ELSE subtype END AS subtype, wins OR changed AS changed FROM j""")
+def applied_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Showcase items after edits: none, one or up to three of a product, some without an image."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return with_applied_edits(spark.sql(_SHOWN, part=part), spark.sql(_EDITS, part=part)).drop("operator_decision")
+
+
+@query(f"""WITH best AS (SELECT item_id, identity FROM ({ORACLE_SQL["remembered_settings"]}) WHERE "rank" = 1)
+SELECT c_custkey AS product_key, c_custkey % 4 IN (0, 1) AND c_custkey % 6 <> 0 AS overridden, (c_custkey % 6 = 0)::INT + (item_id IS NOT NULL)::INT AS revision,
+CASE WHEN item_id IS NOT NULL THEN identity / 100000.0::DOUBLE ELSE 0.0 END AS scale_bias,
+1 + (c_custkey % 6 = 0)::INT + (item_id IS NOT NULL AND NOT (c_custkey % 6 = 0 AND identity = 0))::INT AS states FROM customer LEFT JOIN best ON c_custkey = item_id""")
+def resets_and_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sixth product is reset, then each loads its best remembered tuning as a draft: overrides, newest state, length of history.
+
+    A draft that is what the reset shows already (bias 0) adds no state."""
+    items, library = settings(spark, sf_dir)
+    keys = items.select(F.col("item_id").alias("product_key"))
+    tuning = lambda bias: F.expr(f"named_struct('body_mode', 'auto', 'anchor_mode', 'auto', 'scale_bias', CAST({bias} AS DOUBLE), 'x_nudge', 0D, 'y_nudge', 0D, 'baseline_shift', 0D, 'crop_left', 0D, 'crop_right', 0D, 'crop_top', 0D, 'crop_bottom', 0D)")
+    overrides = keys.filter("product_key % 4 IN (0, 1)").withColumn("override", tuning("0.5"))
+    ops = keys.select("product_key", F.lit(1).alias("seq"), F.lit("record").alias("op"), tuning("-1").alias("state"))
+    none = keys.filter("false").withColumn("revision", F.lit(0))
+    overrides, _, ops, revisions = reset_products(keys.filter("product_key % 6 = 0"), overrides, overrides, ops, none)
+    drafts = remembered_drafts(exception_suggestions(items, library), library.withColumn("override", tuning("CAST(identity AS INT) / 100000D")))
+    ops, revisions = load_remembered(drafts, ops, revisions)
+    newest = F.get(F.col("states"), F.col("index"))["scale_bias"]
+    shown = edit_history(ops).select("product_key", F.when(newest < 0, 0.0).otherwise(newest).alias("scale_bias"), F.size("states").alias("states"))
+    flags = keys.join(overrides.select("product_key", F.lit(True).alias("overridden")), "product_key", "left").join(revisions, "product_key", "left").join(shown, "product_key")
+    return flags.select("product_key", F.coalesce("overridden", F.lit(False)).alias("overridden"), F.coalesce("revision", F.lit(0)).cast("int").alias("revision"), "scale_bias", "states")

@@ -1,6 +1,7 @@
 """The library of remembered settings: one JSON document of entries by identity."""
 
 import uuid
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,25 @@ def read_library(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("override", F.when(bad.isNotNull(), F.raise_error(F.concat(F.lit("out of range: "), bad))).otherwise(F.col("override")))
 
 
+def load_library(spark: SparkSession, path: str) -> DataFrame:
+    """Entries as rows, read through once. No document is no entries; a broken or empty one is copied to ``path``.corrupt.<time>.bak, and an
+    error: the document itself stays as it is."""
+    at, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    fs = at(path).getFileSystem(conf)
+    if not fs.exists(at(path)):
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in TEXTS) + f", override {TUNING}")
+    try:
+        if fs.getContentSummary(at(path)).getLength() == 0:
+            raise OSError(f"{path} is empty")
+        rows = read_library(spark, path)
+        rows.write.format("noop").mode("overwrite").save()
+    except Exception:
+        backup = f"{path}.corrupt.{datetime.now(timezone.utc):%Y%m%dT%H%M%S%fZ}.bak"
+        spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, at(path), fs, at(backup), False, conf)
+        raise
+    return rows
+
+
 def write_library(rows: DataFrame, path: str) -> None:
     """A whole new document beside the old one, read back, and then put in its place; the old one stays as .bak."""
     spark = rows.sparkSession

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framelight.operators.review import TUNING
-from framelight.sources.exceptions import TEXTS, read_library, write_library
+from framelight.sources.exceptions import TEXTS, load_library, read_library, write_library
 
 
 def library(spark, n, crop=0.45):
@@ -26,3 +26,17 @@ def test_broken_documents_are_errors(spark, tmp_path, text):
     (tmp_path / "x.json").write_text(text)
     with pytest.raises(Exception):  # noqa: B017
         read_library(spark, f"file://{tmp_path}/x.json").collect()
+
+
+def test_no_document_is_no_entries(spark, tmp_path):
+    rows = load_library(spark, f"file://{tmp_path}/none.json")
+    assert rows.count() == 0 and rows.columns == library(spark, 1).columns
+
+
+@pytest.mark.parametrize("text", ["", "  ", "{", '{"entries": {"a": {"override": {"scale_bias": 2}}}}'])
+def test_broken_document_is_kept_and_copied(spark, tmp_path, text):
+    (tmp_path / "x.json").write_text(text)
+    with pytest.raises(Exception):  # noqa: B017
+        load_library(spark, f"file://{tmp_path}/x.json")
+    copies = list(tmp_path.glob("x.json.corrupt.*.bak"))
+    assert len(copies) == 1 and copies[0].read_text() == text and (tmp_path / "x.json").read_text() == text
