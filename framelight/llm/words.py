@@ -77,8 +77,8 @@ def offsets(texts: pa.Array) -> np.ndarray:
     return np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
 
 
-def scan(texts: pa.Array) -> Words:
-    """texts: without nulls."""
+def scan(texts: pa.Array, space: np.ndarray = SPACE) -> Words:
+    """texts: without nulls; space: of each byte, whether it stands between words."""
     n = len(texts)
     at = offsets(texts) if n else np.zeros(1, np.int64)
     buffer = texts.buffers()[2] if n else None
@@ -87,7 +87,7 @@ def scan(texts: pa.Array) -> Words:
     if not len(data):
         none = np.zeros(0, np.int64)
         return Words(data, none, none, np.zeros(n + 1, np.int64), np.zeros(0, np.int32))
-    inside = ~SPACE[data]
+    inside = ~space[data]
     begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]
