@@ -233,7 +233,7 @@ def test_every_license_finds_its_own_wording():
     """With all that may be left out, without it, with a word replaced, and in a very long text."""
     known = Templates(licenses.TEMPLATES)
     for label, phrase, markup in licenses.TEMPLATES:
-        whole = re.sub(r"<<(begin|end)Optional>>", " ", re.sub(r"<<var;max=\d+>>", " some body else ", markup))
+        whole = re.sub(r"<<(begin|end)Optional>>", " ", re.sub(r"<<var;max=\d+>>", " some body ", markup))
         bare = re.sub(r"<<var;max=\d+>>", " ", markup)
         while "<<" in bare:
             bare = re.sub(r"<<beginOptional>>((?!<<).)*<<endOptional>>", " ", bare, flags=re.S)
