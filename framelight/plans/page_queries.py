@@ -4,12 +4,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelight.functions.categories import archetype, item_category
+from framelight.functions.fixed_values import AMAZON_A_PROFILES
 from framelight.operators.extraction import crawl, page_contexts, pagination_links, scrape, single_products
 from framelight.operators.images import image_metrics
+from framelight.operators.normaliser import normalise
 from framelight.operators.review import number_pages
 from framelight.operators.scoring import page_summary, score_items
 from framelight.plans.catalog import CATALOG_SQL, KINDS, with_groups
-from framelight.plans.queries import SCORED_SQL, query
+from framelight.plans.queries import SCORED_SQL, _case, _flat, query
 from framelight.sources.html import page_nodes
 from framelight.sources.images import image_components
 
@@ -128,8 +130,10 @@ _SCORED = _SCORED.replace("ELSE card_x END AS x_shift", "WHEN anchor = 'visual_c
 _SCORED = _SCORED.replace("ELSE 0.5 - card_y END AS y_shift", "WHEN anchor = 'visual_center' THEN 0.5 - ((1 - sy) / 2 + CAST(y1 + y2 - 1 AS DOUBLE) / 2 / image_height * sy) ELSE 0.5 - card_y END AS y_shift")
 
 
-def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _images(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """parts: partitions to deal the boxes to before their pixels are made."""
     boxes = spark.sql(_BOXES.replace("FROM part)", "FROM {part})").replace("//", "div").replace("https:div", "https://"), part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+    boxes = boxes.repartition(parts, "pos") if parts else boxes
     white = lambda n: f"repeat('ffffff', CAST({n} AS INT))"
     line = f"concat({white('x1')}, repeat('303030', CAST(x2 - x1 AS INT)), {white('image_width - x2')})"
     rows = f"concat(repeat({white('image_width')}, CAST(y1 AS INT)), repeat({line}, CAST(y2 - y1 AS INT)), repeat({white('image_width')}, CAST(image_height - y2 AS INT)))"
@@ -178,3 +182,70 @@ def scan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The products whose image could not be measured, and why."""
     return _measured(spark, sf_dir)[1]
+
+
+# --- images framed anew: one box each, so that sizes and places have a closed form
+_CANVAS, _MARGIN = 200, 12
+_ROOM = _CANVAS - 2 * _MARGIN
+
+
+def _framed(goals: str) -> str:
+    """CTEs up to n_edged: from a table of goals (pos, box, g_ columns, anchor) to pixels of the canvas."""
+    size = lambda share: f"least(round_even({_CANVAS} * {share}, 0), {_ROOM})"
+    return f"""
+n_boxed AS (SELECT *, CAST(x2 - x1 AS DOUBLE) AS w, CAST(y2 - y1 AS DOUBLE) AS h, {size("g_target")} AS tp, {size("g_other")} AS op, anchor = 'primary' AND g_alignment = 'bottom_center' AS line FROM (SELECT pos, subtype, profile, x1, y1, x2, y2, g_axis, g_target, g_other, g_alignment, g_baseline, anchor FROM {goals})),
+n_aimed AS (SELECT *, tp / CASE WHEN g_axis = 'height' THEN h ELSE w END AS along, op / CASE WHEN g_axis = 'height' THEN w ELSE h END AS across, CAST({_CANVAS // 2} AS DOUBLE) AS cx, CASE WHEN line THEN round_even({_CANVAS} * coalesce(g_baseline, CAST(0.89 AS DOUBLE)), 0) ELSE CAST({_CANVAS // 2} AS DOUBLE) END AS cy,
+  CASE WHEN anchor = 'visual_center' THEN (w - 1) / 2 ELSE w / 2 END AS ax, CASE WHEN line THEN h WHEN anchor = 'visual_center' THEN (h - 1) / 2 ELSE h / 2 END AS ay FROM n_boxed),
+n_bound AS (SELECT *, list_min(list_filter([{_ROOM} / w, {_ROOM} / h, (cx - {_MARGIN + 1}) / ax, ({_CANVAS - _MARGIN - 1} - cx) / (w - ax), (cy - {_MARGIN + 1}) / ay, CASE WHEN h > ay THEN ({_CANVAS - _MARGIN - 1} - cy) / (h - ay) END], lambda v: v > 0)) AS most FROM n_aimed),
+n_scaled AS (SELECT *, greatest(CAST(0.05 AS DOUBLE), least(along, across, most)) AS scale, CASE WHEN along <= across THEN tp ELSE op END AS goal FROM n_bound),
+n_sized AS (SELECT *, greatest(1, round_even(w * scale, 0)) AS nw, greatest(1, round_even(h * scale, 0)) AS nh FROM n_scaled),
+n_put AS (SELECT *, CASE WHEN anchor = 'visual_center' THEN round_even(cx - (nw - 1) / 2, 0) ELSE round_even((2 * cx - nw) / 2, 0) END AS px,
+  CASE WHEN line THEN cy - nh WHEN anchor = 'visual_center' THEN round_even(cy - (nh - 1) / 2, 0) ELSE round_even((2 * cy - nh) / 2, 0) END AS py FROM n_sized),
+n_placed AS (SELECT *, CAST(least(greatest(px, {_MARGIN}), {_CANVAS - _MARGIN} - nw) AS INTEGER) AS x, CAST(least(greatest(py, {_MARGIN}), {_CANVAS - _MARGIN} - nh) AS INTEGER) AS y, CAST(nw AS INTEGER) AS width, CAST(nh AS INTEGER) AS height,
+  CAST(abs(CASE WHEN (along <= across) = (g_axis = 'height') THEN nh ELSE nw END - goal) AS INTEGER) AS error_px FROM n_put),
+n_edged AS (SELECT *, CAST(least(x, {_CANVAS} - x - width, y, {_CANVAS} - y - height) AS DOUBLE) / {_CANVAS} AS edge, CAST(CASE WHEN g_axis = 'height' THEN height ELSE width END AS DOUBLE) / {_CANVAS} AS reached FROM n_placed)"""
+
+
+_SHAPES = "CASE subtype WHEN 'tall_standing' THEN 'tall' WHEN 'flat_horizontal' THEN 'flat' WHEN 'wide' THEN 'wide' ELSE profile END"
+_AMAZON = {k: _flat(p) for k, p in AMAZON_A_PROFILES.items()}
+_AMAZON_GOALS = f"amazon AS (SELECT * EXCLUDE (g_axis, g_target, g_other, g_alignment, g_baseline), {', '.join(f'{_case(_SHAPES, _AMAZON, f)} AS g_{f}' for f in _AMAZON['tall'])} FROM scored)"
+_GEOMETRY = f"""SELECT pos, anchor, x, y, width, height, error_px AS size_lock_error_px, round(edge, 6) AS full_edge_padding, px <> x OR py <> y AS placement_constrained,
+abs((x + width / 2.0) / {_CANVAS} - 0.5) <= 0.035 AND edge >= 0.06 * 0.80 AND px = x AND py = y AND NOT reached > g_target + 0.055 AND NOT reached < CASE WHEN g_axis = 'height' THEN least(0.50, g_target - 0.17) ELSE least(0.56, g_target - 0.18) END AS qa_pass FROM n_edged"""
+
+
+def _to_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images with their items' categories."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS image_id", f"p_name || ' ' || {_KIND} AS name", f"'{SHOP}/p/' || CAST(p_partkey AS STRING) AS product_url")
+    return _images(spark, sf_dir, parts=64).join(part.withColumn("item_category", item_category(F.col("name"), F.col("product_url"))).drop("name", "product_url"), "image_id")
+
+
+def _geometry(rows: DataFrame) -> DataFrame:
+    n = F.col("normalised")
+    fine = rows.filter("error IS NULL")
+    return fine.select(F.col("image_id").alias("pos"), "anchor", n["x"].alias("x"), n["y"].alias("y"), n["width"].alias("width"), n["height"].alias("height"), n["size_lock_error_px"].alias("size_lock_error_px"),
+                       F.round(n["full_edge_padding"], 6).alias("full_edge_padding"), n["placement_constrained"].alias("placement_constrained"), n["qa_pass"].alias("qa_pass"))
+
+
+@query(f"WITH {_SCORED}, {_framed('scored')} {_GEOMETRY}")
+def normalised_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and place of each product on a square canvas, by its category's standard."""
+    return _geometry(normalise(_to_frame(spark, sf_dir), canvas=_CANVAS, draw=False))
+
+
+@query(f"WITH {_SCORED}, {_AMAZON_GOALS}, {_framed('amazon')} {_GEOMETRY}")
+def normalised_geometry_amazon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the profiles of the marketplace mode."""
+    return _geometry(normalise(_to_frame(spark, sf_dir), mode="amazon_a", canvas=_CANVAS, draw=False))
+
+
+@query(f"""WITH {_SCORED}, {_framed('scored')} SELECT pos, CAST(width AS DOUBLE) / {_CANVAS} AS w, CAST(height AS DOUBLE) / {_CANVAS} AS h, CAST(x + width AS DOUBLE) / {_CANVAS} AS right_edge, CAST(y + height AS DOUBLE) / {_CANVAS} AS baseline_y,
+1 AS component_count, '303030' AS colour FROM n_edged""")
+def normalised_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The images themselves, measured again as any image is; colour: that of the product's middle."""
+    made = normalise(_to_frame(spark, sf_dir), canvas=_CANVAS).filter("error IS NULL")
+    n = F.col("normalised")
+    middle = ((n["y"] + F.expr("normalised.height div 2")) * _CANVAS + n["x"] + F.expr("normalised.width div 2")) * 3
+    images = made.select("image_id", F.lit(_CANVAS).alias("height"), F.lit(_CANVAS).alias("width"), F.lit(3).alias("channels"), F.col("canvas").alias("data"), F.hex(F.substring("canvas", middle + 1, F.lit(3))).alias("colour"))
+    m = F.col("metrics")
+    rows = image_metrics(image_components(images, keep=("colour",)))
+    return rows.select(F.col("image_id").alias("pos"), m["width_occupancy"].alias("w"), m["height_occupancy"].alias("h"), (F.lit(1.0) - m["right_padding"]).alias("right_edge"), m["baseline_y"].alias("baseline_y"), m["component_count"].alias("component_count"), "colour")
