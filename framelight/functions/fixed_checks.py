@@ -30,9 +30,8 @@ def fixed_value_errors() -> list[str]:
     bad = profile_errors(fixed.PROFILES, "profiles") + profile_errors(fixed.AMAZON_A_PROFILES, "amazon_a_profiles")
     for category, standard in fixed.CATEGORY_STANDARDS.items():
         bad += share_errors(category, standard)
-    placed = [c for members in fixed.ANCHOR_POLICY.values() for c in members]
-    bad += [f"{c}: no profile" for c in [*fixed.CATEGORY_STANDARDS, *placed] if c not in known]
-    bad += [f"{c}: two anchors" for c in set(placed) if placed.count(c) > 1]
+    bad += [f"{c}: no profile" for c in [*fixed.CATEGORY_STANDARDS, *fixed.CATEGORY_ANCHOR] if c not in known]
+    bad += [f"{c}: unknown anchor" for c, anchor in fixed.CATEGORY_ANCHOR.items() if anchor not in fixed.ANCHORS]
     return bad + ([] if 0 <= CROP_RANGE[0] < CROP_RANGE[1] < 0.5 else ["crop range"])
 
 
@@ -40,8 +39,7 @@ def profiles_document(version: str) -> dict:
     """The fixed values as one document; an error if they do not hold."""
     if bad := fixed_value_errors():
         raise ValueError("; ".join(bad))
-    anchors = {c: anchor for anchor, members in fixed.ANCHOR_POLICY.items() for c in members}
     return {
         "version": version, "crop_range": dict(zip(("min", "max"), CROP_RANGE)), "profiles": fixed.PROFILES, "amazon_a_profiles": fixed.AMAZON_A_PROFILES,
-        "category_map": fixed.CATEGORY_PROFILE, "category_standards": fixed.CATEGORY_STANDARDS, "category_anchor_policy": dict(sorted(anchors.items())),
+        "category_map": fixed.CATEGORY_PROFILE, "category_standards": fixed.CATEGORY_STANDARDS, "category_anchor_policy": fixed.CATEGORY_ANCHOR,
     }

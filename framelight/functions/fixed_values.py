@@ -20,42 +20,44 @@ AMAZON_A_PROFILES = {
 
 # Fixed values.
 CATEGORY_PROFILE = {
-    "Air conditioner": "wide", "Blender": "compact", "Cart / trolley": "wide", "Citrus press": "boxy", "Coffee machine": "boxy",
-    "Cooktop": "flat", "Dishwasher": "tall", "Freezer": "tall", "Hob": "flat", "Hood": "wide", "Ice cream maker": "wide",
-    "Ice machine": "boxy", "Juicer": "boxy", "Kettle": "compact", "Laundry equipment": "boxy", "Microwave": "boxy", "Oven": "boxy",
-    "Refrigerator": "tall", "Vacuum cleaner": "boxy", "Waffle maker": "wide", "Water dispenser": "tall", "Water heater": "tall",
+    "Air conditioner": "wide", "Blender": "compact", "Cart / trolley": "wide", "Coffee machine": "boxy", "Citrus press": "boxy", "Cooktop": "flat",
+    "Dishwasher": "tall", "Freezer": "tall", "Hob": "flat", "Hood": "wide", "Ice cream maker": "wide", "Ice machine": "boxy", "Juicer": "boxy",
+    "Kettle": "compact", "Laundry equipment": "boxy", "Microwave": "boxy", "Oven": "boxy", "Refrigerator": "tall", "Vacuum cleaner": "boxy",
+    "Waffle maker": "wide", "Water dispenser": "tall", "Water heater": "tall",
 }
 
 # Fixed values.
 CATEGORY_STANDARDS = {
     "Air conditioner": {"target_width": 0.82, "max_height": 0.58, "alignment": "center"},
-    "Cart / trolley": {"target_width": 0.78, "max_height": 0.70, "alignment": "center"},
-    "Citrus press": {"target_height": 0.78, "max_width": 0.76, "alignment": "center"},
     "Coffee machine": {"target_height": 0.72, "max_width": 0.74, "alignment": "bottom_center", "baseline": 0.89},
+    "Citrus press": {"target_height": 0.78, "max_width": 0.76, "alignment": "center"},
     "Cooktop": {"target_width": 0.84, "max_height": 0.46, "alignment": "center"},
     "Dishwasher": {"target_height": 0.79, "max_width": 0.70, "alignment": "bottom_center", "baseline": 0.91},
     "Freezer": {"target_height": 0.81, "max_width": 0.68, "alignment": "bottom_center", "baseline": 0.92},
     "Hob": {"target_width": 0.84, "max_height": 0.46, "alignment": "center"},
     "Hood": {"target_width": 0.82, "max_height": 0.68, "alignment": "center"},
     "Ice cream maker": {"target_width": 0.82, "max_height": 0.72, "alignment": "center"},
-    "Ice machine": {"target_height": 0.72, "max_width": 0.76, "alignment": "bottom_center", "baseline": 0.90},
     "Juicer": {"target_height": 0.80, "max_width": 0.80, "alignment": "center"},
-    "Laundry equipment": {"target_height": 0.78, "max_width": 0.74, "alignment": "bottom_center", "baseline": 0.91},
     "Microwave": {"target_height": 0.67, "max_width": 0.78, "alignment": "center"},
     "Oven": {"target_height": 0.72, "max_width": 0.76, "alignment": "center"},
     "Refrigerator": {"target_height": 0.82, "max_width": 0.66, "alignment": "bottom_center", "baseline": 0.92},
+    "Water heater": {"target_height": 0.78, "max_width": 0.68, "alignment": "center"},
+    "Cart / trolley": {"target_width": 0.78, "max_height": 0.70, "alignment": "center"},
+    "Ice machine": {"target_height": 0.72, "max_width": 0.76, "alignment": "bottom_center", "baseline": 0.90},
+    "Laundry equipment": {"target_height": 0.78, "max_width": 0.74, "alignment": "bottom_center", "baseline": 0.91},
     "Vacuum cleaner": {"target_height": 0.78, "max_width": 0.80, "alignment": "center"},
     "Waffle maker": {"target_width": 0.82, "max_height": 0.72, "alignment": "center"},
     "Water dispenser": {"target_height": 0.80, "max_width": 0.66, "alignment": "bottom_center", "baseline": 0.91},
-    "Water heater": {"target_height": 0.78, "max_width": 0.68, "alignment": "center"},
 }
 
-# Categories by the anchor that their products are placed by.
-ANCHOR_POLICY = {
-    "full_center": ["Air conditioner", "Cart / trolley", "Citrus press", "Cooktop", "Hob", "Ice cream maker", "Juicer", "Microwave", "Oven", "Vacuum cleaner", "Waffle maker", "Water heater"],
-    "primary": ["Coffee machine", "Dishwasher", "Freezer", "Ice machine", "Laundry equipment", "Refrigerator", "Water dispenser"],
-    "visual_center": ["Hood"],
-}
+# The anchor that a category's products are placed by.
+CATEGORY_ANCHOR = {
+    "Air conditioner": "full_center", "Cart / trolley": "full_center", "Coffee machine": "primary", "Citrus press": "full_center", "Cooktop": "full_center", "Dishwasher": "primary",
+    "Freezer": "primary", "Hob": "full_center", "Hood": "visual_center", "Ice cream maker": "full_center", "Ice machine": "primary", "Juicer": "full_center",
+    "Laundry equipment": "primary", "Microwave": "full_center", "Oven": "full_center", "Refrigerator": "primary", "Vacuum cleaner": "full_center", "Waffle maker": "full_center",
+    "Water dispenser": "primary", "Water heater": "full_center",
+}
+ANCHORS = ["primary", "full_center", "visual_center"]  # fixed values
 
 # Phrases of each category, in the order in which ties are broken.
 CATEGORY_TERMS = {

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from framelight.functions.binding import let
-from framelight.functions.fixed_values import AMAZON_A_PROFILES, ANCHOR_POLICY, CATEGORY_PROFILE, CATEGORY_STANDARDS, PROFILES
+from framelight.functions.fixed_values import AMAZON_A_PROFILES, ANCHORS, CATEGORY_ANCHOR, CATEGORY_PROFILE, CATEGORY_STANDARDS, PROFILES
 
 WHOLE = ("multipart", "bundle_layout")  # compositions sold as one
 SLACK = ("accessory_heavy", *WHOLE)
@@ -46,12 +46,11 @@ def profile(category: Column, kind: Column, width: Column, height: Column) -> Co
 
 
 def anchor_mode(category: Column, kind: Column, accessory_share: Column, requested: Column | None = None) -> Column:
-    by_category = {c: mode for mode, categories in ANCHOR_POLICY.items() for c in categories}
     automatic = (
         F.when(kind.isin(*WHOLE), "full_center").when((accessory_share >= 0.08) | (kind == "accessory_heavy"), "primary")
-        .otherwise(F.coalesce(lookup(by_category, category), F.when(kind.isin("flat_horizontal", "wide"), "full_center").otherwise("primary")))
+        .otherwise(F.coalesce(lookup(CATEGORY_ANCHOR, category), F.when(kind.isin("flat_horizontal", "wide"), "full_center").otherwise("primary")))
     )
-    return automatic if requested is None else F.when(requested.isin(*ANCHOR_POLICY), requested).otherwise(automatic)
+    return automatic if requested is None else F.when(requested.isin(*ANCHORS), requested).otherwise(automatic)
 
 
 def standard(name: Column, category: Column, kind: Column, mode: str = "standard") -> Column:

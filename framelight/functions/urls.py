@@ -1,7 +1,6 @@
 """Addresses and the identity keys made of them. The keys differ on purpose; each says what it ignores."""
 
-import re
-from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column
@@ -24,36 +23,67 @@ def candidate_key(product_url: Column, image_url: Column, name: Column) -> Colum
     return F.when(product != "", F.concat(F.lit("product::"), product)).when(image != "", F.concat(F.lit("image::"), image)).otherwise(F.concat(F.lit("name::"), named))
 
 
-def http_key(raw: str | None) -> str:
-    """One text for all spellings of an http address, '' for all else: host and scheme in lower case, no default
-    port, single slashes, none at the end, the query sorted, no fragment."""
-    try:
-        parts = urlsplit((raw or "").strip())
-        scheme, host, port = parts.scheme.lower(), (parts.hostname or "").lower().rstrip("."), parts.port
-    except ValueError:
-        return ""
-    if scheme not in ("http", "https") or not parts.hostname:
-        return ""
-    where = f"{host}:{port}" if port and port != {"http": 80, "https": 443}[scheme] else host
-    path = re.sub("//+", "/", parts.path or "/")
-    return urlunsplit((scheme, where, path if path == "/" else path.rstrip("/"), urlencode(sorted(parse_qsl(parts.query, keep_blank_values=True))), ""))
+def parts_of(url: Column) -> dict[str, Column]:
+    """scheme, where (null: none), path and query as they stand; white space around and line breaks within do not count."""
+    text = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+|\s+$", ""), r"[\t\r\n]", "")
+    take = lambda i: F.regexp_extract(text, r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?:(//)([^/?#]*))?([^?#]*)(?:\?([^#]*))?", i)
+    return {"scheme": F.lower(take(1)), "where": F.when(take(2) != "", take(3)), "path": take(4), "query": take(5)}
 
 
-def listing_key(raw: str) -> str:
-    """As http_key, for pages of a listing: the port stays, any scheme is taken."""
-    parts = urlsplit(raw)
-    path = re.sub("/+", "/", parts.path or "/").rstrip("/") or "/"
-    return urlunsplit((parts.scheme.lower(), parts.netloc.lower(), path, urlencode(sorted(parse_qsl(parts.query, keep_blank_values=True))), ""))
+def sorted_query(query: Column) -> Column:
+    """Names and values as form data, in one spelling, sorted; values may be empty, empty pairs go."""
+    plain = lambda c: F.try_url_decode(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25"))  # noqa: E731  a % that begins nothing stands for itself
+    coded = lambda c: F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    name, value = (lambda p: F.regexp_extract(p, "^([^=]*)", 1)), (lambda p: F.regexp_extract(p, "(?s)^[^=]*=(.*)", 1))
+    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p: F.struct(plain(name(p)).alias("k"), plain(value(p)).alias("v")))
+    return F.array_join(F.transform(F.array_sort(pairs), lambda p: F.concat(coded(p["k"]), F.lit("="), coded(p["v"]))), "&")
 
 
-@F.pandas_udf(StringType())
-def canonical_http_url(x: pd.Series) -> pd.Series:
-    return x.map(http_key)
+def put_together(scheme: Column, where: Column, path: Column, query: Column) -> Column:
+    asked = sorted_query(query)
+    return F.concat(F.when(scheme == "", "").otherwise(F.concat(scheme, F.lit(":"))), F.when(where.isNull(), "").otherwise(F.concat(F.lit("//"), where)), path, F.when(asked == "", "").otherwise(F.concat(F.lit("?"), asked)))
+
+
+def readable_host(where: Column) -> Column:
+    """Whether what stands between // and the path can be read: brackets only around an address, a port that is a number."""
+    return where.rlike(r"^(?:[^@]*@)*(?:[^\[\]@]*|\[[0-9A-Fa-f:.%]+\](?::[0-9]*)?)$")
+
+
+def canonical_http_url(url: Column | str) -> Column:
+    """One text for all spellings of an http address, '' for all else: scheme and host in lower case, no default port, single slashes, none at the
+    end, the query sorted, no fragment and no user."""
+    p = parts_of(F.coalesce(F.col(url) if isinstance(url, str) else url, F.lit("")))
+    own = F.regexp_extract(p["where"], r"([^@]*)$", 1)
+    bracket = F.regexp_extract(own, r"^\[([^\]]*)\]", 1)
+    host = F.lower(F.rtrim(F.when(bracket != "", bracket).otherwise(F.regexp_extract(own, r"^([^:]*)", 1)), F.lit(".")))
+    port = F.regexp_extract(own, r":([^:\]]*)$", 1)
+    number = F.when(port.rlike("^[0-9]{1,9}$"), port.try_cast("int"))
+    fine = p["scheme"].isin("http", "https") & readable_host(p["where"]) & (host != "") & ((port == "") | F.coalesce(number <= 65535, F.lit(False)))
+    default = number == F.when(p["scheme"] == "http", 80).otherwise(443)
+    where = F.when((port == "") | (number == 0) | default, host).otherwise(F.concat(host, F.lit(":"), number.cast("string")))
+    path = F.regexp_replace(F.when(p["path"] == "", "/").otherwise(p["path"]), "//+", "/")
+    return F.when(F.coalesce(fine, F.lit(False)), put_together(p["scheme"], where, F.when(path == "/", path).otherwise(F.rtrim(path, F.lit("/"))), p["query"])).otherwise("")
+
+
+def canonical_listing_url(url: Column | str) -> Column:
+    """As canonical_http_url, for pages of a listing: the port stays, any scheme is taken; null for an address that cannot be read."""
+    p = parts_of(F.col(url) if isinstance(url, str) else url)
+    path = F.rtrim(F.regexp_replace(F.when(p["path"] == "", "/").otherwise(p["path"]), "/+", "/"), F.lit("/"))
+    made = put_together(p["scheme"], F.lower(p["where"]), F.when(path == "", "/").otherwise(path), p["query"])
+    return F.when(p["where"].isNull() | readable_host(p["where"]), made)
+
+
+def joined_url(base: str | None, href: str | None) -> str | None:
+    """href as seen from base; None for what cannot be read as an address."""
+    try:
+        return None if href is None else urljoin(base or "", href)
+    except ValueError:
+        return None
 
 
 @F.pandas_udf(StringType())
-def canonical_listing_url(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: None if v is None else listing_key(v))
+def absolute(base: pd.Series, href: pd.Series) -> pd.Series:
+    return pd.Series([joined_url(b, h) for b, h in zip(base, href, strict=True)])
 
 
 def match_url(url: Column) -> Column:
@@ -92,4 +122,4 @@ def is_public_literal(url: Column) -> Column:
     authority = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
     host = F.lower(F.rtrim(F.regexp_replace(authority, r":\d*$", ""), F.lit(".")))
     private = host.rlike(r"^(localhost|.*\.(localhost|local|internal|lan|home)|0\.0\.0\.0|127\..*|10\..*|192\.168\..*|169\.254\..*|172\.(1[6-9]|2\d|3[01])\..*|100\.(6[4-9]|[789]\d|1[01]\d|12[0-7])\..*|22[4-9]\..*|2[34]\d\..*|25[0-5]\..*|\[.*\])$")
-    return F.coalesce(scheme.isin("http", "https") & (host != "") & ~authority.contains("@") & ~private, F.lit(False))
+    return F.coalesce(scheme.isin("http", "https") & (host != "") & readable_host(authority) & ~authority.contains("@") & ~private, F.lit(False))

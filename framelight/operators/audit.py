@@ -9,7 +9,7 @@ from pyspark.sql.types import StringType
 
 from framelight.functions.fixed_values import AUDIT_COLUMNS, EXPORT_HEADINGS
 from framelight.functions.text import casefold, natural_key, python_fixed
-from framelight.functions.urls import canonical_http_url, http_key
+from framelight.functions.urls import canonical_http_url
 
 # What each decision shows: status, label, text before the automatic findings, suggested fix.
 DECISIONS = {
@@ -119,16 +119,16 @@ def with_manual_edits(rows: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 @F.pandas_udf(StringType())
-def stable_id(product_url: pd.Series, image_url: pd.Series, page_url: pd.Series, name: pd.Series) -> pd.Series:
-    """64 hex digits of a record's first identity: its address, its image's, or its page and name."""
-    import unicodedata
+def folded_name(x: pd.Series) -> pd.Series:
+    return x.str.normalize("NFKC").str.casefold().str.strip()
 
-    def one(p: str | None, i: str | None, g: str | None, n: str | None) -> str:
-        product, image = http_key(p), http_key(i)
-        seed = f"product_url:{product}" if product else f"image_url:{image}" if image else f"page:{http_key(g)}|name:{unicodedata.normalize('NFKC', n or '').casefold().strip()}"
-        return sha256(seed.encode("utf-8", "replace")).hexdigest()
 
-    return pd.Series([one(*x) for x in zip(product_url, image_url, page_url, name, strict=True)])
+def stable_id(product_url: Column, image_url: Column, page_url: Column, name: Column) -> Column:
+    """64 hex digits of a record's first identity: its address, its image's, or its page and name."""
+    product, image = canonical_http_url(product_url), canonical_http_url(image_url)
+    named = F.concat(F.lit("page:"), canonical_http_url(page_url), F.lit("|name:"), folded_name(F.coalesce(name, F.lit(""))))
+    seed = F.when(product != "", F.concat(F.lit("product_url:"), product)).when(image != "", F.concat(F.lit("image_url:"), image)).otherwise(named)
+    return F.sha2(F.encode(seed, "UTF-8"), 256)
 
 
 def page_identity() -> Column:

@@ -3,17 +3,14 @@
 Each element knows its ancestors, so that cards, sections and links are joins on (page_id, id): one between images and
 their nearest ancestors, and aggregates of what lies below an ancestor."""
 
-import tempfile
-from urllib.parse import urljoin
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
+from framelight.functions.lineage import cut
 from framelight.functions.text import casefold, clean_text, is_noise_name
 from framelight.operators.gate import dedupe_candidates
-from framelight.functions.urls import bare, canonical_listing_url, is_paginated, match_url, same_origin
+from framelight.functions.urls import absolute, bare, canonical_listing_url, is_paginated, match_url, same_origin
 from framelight.sources.html import structured_products
 
 # Patterns that tell page furniture, recommendations, product cards, files and actions.
@@ -40,11 +37,6 @@ PAGER = r"(?i)pagination|pager|page-numbers|page_numbers|nav-links|nav_links|pag
 NEXT = ["next", "next page", "older", "›", "»", ">"]
 
 
-@F.pandas_udf(StringType())
-def absolute(base: pd.Series, href: pd.Series) -> pd.Series:
-    return pd.Series([None if h is None else urljoin(b or "", h) for b, h in zip(base, href, strict=True)])
-
-
 def semantic(attrs: Column) -> Column:
     """Class, id, role, label and test id in one text."""
     return F.concat_ws(" ", *[F.nullif(attrs[k], F.lit("")) for k in ("class", "id", "role", "aria-label", "data-testid")])
@@ -79,7 +71,7 @@ def dom_products(nodes: DataFrame, strict: bool = True) -> DataFrame:
     small = lambda k: F.coalesce(a[k].try_cast("double") < 90, F.lit(False)) & (a[k] != "")
     images = nodes.filter("tag = 'img'").filter(~F.coalesce(small("width"), F.lit(False)) & ~F.coalesce(small("height"), F.lit(False)))
     images = images.select("page_id", "url", "id", "path", F.trim(src).alias("src"), clean_text(a["alt"]).alias("alt"), clean_text(a["title"]).alias("title")).filter("src IS NOT NULL AND src NOT LIKE 'data:%'")
-    images = images.withColumn("image_url", absolute("url", "src"))
+    images = images.withColumn("image_url", absolute("url", "src")).filter("image_url IS NOT NULL")
 
     # what lies below each element
     below = nodes.select("page_id", "id", "tag", "attrs", "text", F.explode("path").alias("above"))
@@ -210,23 +202,17 @@ def pagination_links(nodes: DataFrame) -> DataFrame:
     return rows.select("page_id", F.row_number().over(Window.partitionBy("page_id").orderBy("place")).alias("pos"), "link")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed and without its lineage, in the cluster's shared folder (one of its own only where none is set, in local mode)."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not at and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
-        context.setCheckpointDir(at or f"file://{tempfile.mkdtemp()}")
-    return df.checkpoint()
-
-
 def crawl(start: DataFrame, web: DataFrame, most: int = 25) -> DataFrame:
     """listing_id, url, pos, page_number: pages reached from start (listing_id, url) over web (url, links array), by breadth, ``most`` for
     each listing; hops are joins of the frontier, and stop when none is new. A page stands after those that were found before it: by hop, by
-    the rank of the page that links to it, and by the link's place there."""
+    the rank of the page that links to it, and by the link's place there. Of addresses that lead to one page (``web`` may have a final_url, see
+    sources.responses) the first counts; a page that could not be fetched is not in web and counts as none where final_url is given.
+
+    A listing's frontier and what it has seen are 4 * most addresses at most."""
     from framelight.functions.urls import page_number
 
+    if "final_url" in web.columns:
+        return crawl_fetched(start, web, most)
     seen = start.select("listing_id", canonical_listing_url("url").alias("url"), F.lit(0).alias("hop"), F.lit(1).alias("rank")).dropDuplicates(["listing_id", "url"])
     seen, web = cut(seen), cut(web.select(canonical_listing_url("url").alias("url"), "links").dropDuplicates(["url"]))  # each hop reads them
     within = Window.partitionBy("listing_id").orderBy("place", "url")
@@ -242,3 +228,33 @@ def crawl(start: DataFrame, web: DataFrame, most: int = 25) -> DataFrame:
         seen = seen.unionByName(frontier)
     pos = F.row_number().over(Window.partitionBy("listing_id").orderBy("hop", "rank")) - 1
     return seen.withColumn("pos", pos).filter(F.col("pos") < most).select("listing_id", "url", "pos", page_number(F.col("url")).alias("page_number"))
+
+
+def crawl_fetched(start: DataFrame, web: DataFrame, most: int) -> DataFrame:
+    """crawl over pages that were fetched: web (url, final_url, links). Addresses are visited in the order in which they were queued, hop by hop; one whose page was
+    found already gives none; links are queued while a listing has fewer than 4 * most addresses visited or waiting."""
+    from framelight.functions.urls import page_number
+
+    room = 4 * most
+    web = cut(web.select(canonical_listing_url("url").alias("url"), canonical_listing_url("final_url").alias("page"), "links").dropDuplicates(["url"]))
+    queue = cut(start.select("listing_id", canonical_listing_url("url").alias("url"), F.lit(0).alias("hop"), F.lit(1).alias("rank")).dropDuplicates(["listing_id", "url"]))
+    asked, found, hop = queue.select("listing_id", "url"), None, 0  # every address that was ever queued, and every page
+    in_order = Window.partitionBy("listing_id").orderBy("hop", "rank")
+    while not queue.isEmpty():
+        pages = queue.join(web, "url").withColumn("nth", F.row_number().over(Window.partitionBy("listing_id", "page").orderBy("rank"))).filter("nth = 1").drop("nth")
+        if found is not None:
+            pages = pages.join(found.select("listing_id", "page"), ["listing_id", "page"], "left_anti")
+        pages = cut(pages)
+        new = pages.select("listing_id", "page", "hop", "rank")
+        found = cut((new if found is None else found.unionByName(new)).withColumn("pos", F.row_number().over(in_order) - 1).filter(F.col("pos") < most).drop("pos"))
+        went = pages.join(found, ["listing_id", "page", "hop", "rank"], "left_semi").select("listing_id", "rank", F.posexplode("links").alias("at", "to"))
+        hop += 1
+        links = went.select("listing_id", canonical_listing_url("to").alias("url"), F.struct("rank", "at").alias("place")).filter("url IS NOT NULL").groupBy("listing_id", "url").agg(F.min("place").alias("place"))
+        links = links.join(asked, ["listing_id", "url"], "left_anti").withColumn("rank", F.row_number().over(Window.partitionBy("listing_id").orderBy("place", "url")))
+        left = asked.groupBy("listing_id").agg((F.lit(room) - F.count(F.lit(1))).alias("left"))
+        full = found.groupBy("listing_id").count().filter(F.col("count") >= most).select("listing_id")  # listings that have all their pages
+        queue = cut(links.join(left, "listing_id").filter(F.col("rank") <= F.col("left")).join(full, "listing_id", "left_anti").select("listing_id", "url", F.lit(hop).alias("hop"), "rank"))
+        asked = cut(asked.unionByName(queue.select("listing_id", "url")))
+    none = start.sparkSession.createDataFrame([], start.select("listing_id").schema.add("page", "string").add("hop", "integer").add("rank", "integer"))
+    pos = (none if found is None else found).withColumn("pos", F.row_number().over(in_order) - 1)
+    return pos.select("listing_id", F.col("page").alias("url"), "pos", page_number(F.col("page")).alias("page_number"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from framelight.functions.fixed_values import PROFILES
 from framelight.functions.geometry import lookup
-from framelight.functions.text import casefold, path_component, plain_name, python_fixed
+from framelight.functions.text import casefold, plain_name, python_fixed, safe_name
 from framelight.functions.urls import match_url
 
 TUNING = "struct<body_mode:string,anchor_mode:string,scale_bias:double,x_nudge:double,y_nudge:double,baseline_shift:double,crop_left:double,crop_right:double,crop_top:double,crop_bottom:double>"
@@ -80,8 +80,7 @@ def unique_names(rows: DataFrame, scope: str = "page_id", name: str = "name", or
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group, used, following, out = group.sort_values(order), set(), {}, []
-        for value in group[name]:
-            base = path_component(value, "Product", 120)
+        for base in group.pop("safe_"):
             made, n = base, following.get(base, 2)  # numbers below are taken
             while made.casefold() in used:
                 made, n = f"{base}__{n}", n + 1
@@ -91,7 +90,7 @@ def unique_names(rows: DataFrame, scope: str = "page_id", name: str = "name", or
         return group.assign(file_name=out)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.groupBy(scope).applyInPandas(one, f"{fields}, file_name string")
+    return rows.withColumn("safe_", safe_name(name, "Product", 120)).groupBy(scope).applyInPandas(one, f"{fields}, file_name string")
 
 
 def number_pages(pages: DataFrame, most: int | None = 25) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelight.functions.fixed_values import ANCHOR_POLICY, CATEGORY_PROFILE, CATEGORY_STANDARDS, CATEGORY_TERMS, PROFILES
+from framelight.functions.fixed_values import CATEGORY_ANCHOR, CATEGORY_PROFILE, CATEGORY_STANDARDS, CATEGORY_TERMS, PROFILES
 from framelight.operators.gate import dedupe_candidates, gated
 from framelight.operators.audit import FIXES, OTHER_FIX, audit_rows, decide, export, hierarchy, issue_level, latest_decisions, snapshot_summary, suggested_fix, upsert
 from framelight.operators.review import calibration, edit_history, exception_suggestions, number_pages, unique_names
@@ -141,7 +141,7 @@ goals AS (SELECT * EXCLUDE (g_axis, g_target, g_other, g_alignment, g_baseline),
 cards AS (SELECT *, image_width / greatest(image_width, image_height)::DOUBLE AS sx, image_height / greatest(image_width, image_height)::DOUBLE AS sy FROM goals),
 placed AS (SELECT *, width_occupancy * sx AS card_w, height_occupancy * sy AS card_h, (1 - sx) / 2 + center_x * sx AS card_x, (1 - sy) / 2 + center_y * sy AS card_y, (1 - sy) / 2 + baseline_y * sy AS card_line, (1 - sx) / 2 + left_padding * sx + width_occupancy * sx / 2 AS full_x, (1 - sy) / 2 + top_padding * sy + height_occupancy * sy / 2 AS full_y,
   CASE WHEN subtype = 'multipart' THEN 'full_center' WHEN accessory_area_ratio >= 0.08 OR subtype = 'accessory_heavy' THEN 'primary' ELSE
-    coalesce(CASE item_category {" ".join(f"WHEN '{c}' THEN '{m}'" for m, cs in ANCHOR_POLICY.items() for c in cs)} END, CASE WHEN subtype IN ('flat_horizontal', 'wide') THEN 'full_center' ELSE 'primary' END) END AS anchor FROM cards),
+    coalesce(CASE item_category {" ".join(f"WHEN '{c}' THEN '{m}'" for c, m in CATEGORY_ANCHOR.items())} END, CASE WHEN subtype IN ('flat_horizontal', 'wide') THEN 'full_center' ELSE 'primary' END) END AS anchor FROM cards),
 fixes AS (SELECT *, CASE WHEN g_axis = 'height' THEN least(g_target / card_h, g_other / card_w) ELSE least(g_target / card_w, g_other / card_h) END AS fix_scale, 0.5 - CASE WHEN anchor = 'full_center' THEN full_x ELSE card_x END AS x_shift,
   CASE WHEN anchor = 'primary' AND g_alignment = 'bottom_center' THEN coalesce(g_baseline, CAST(0.89 AS DOUBLE)) - card_line WHEN anchor = 'full_center' THEN 0.5 - full_y ELSE 0.5 - card_y END AS y_shift,
   (CASE WHEN g_axis = 'height' THEN height_occupancy ELSE width_occupancy END) / g_target AS frame_ratio, CASE WHEN subtype IN ('accessory_heavy', 'multipart') THEN CAST(0.23 AS DOUBLE) + CAST(0.07 AS DOUBLE) ELSE CAST(0.23 AS DOUBLE) END AS tolerance,

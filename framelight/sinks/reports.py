@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelight.functions.text import path_component
+from framelight.functions.text import safe_name
 from framelight.operators.audit import in_natural_order
 
 BOM = "﻿"
@@ -70,8 +70,10 @@ def html_report(rows: DataFrame, most: int = 20_000) -> bytes:
 def page_zip(rows: DataFrame, most: int = 100_000) -> bytes:
     """A CSV for each page, in folders of category and subcategory; names are safe and stay within the archive."""
     pages: dict[tuple, list] = {}
-    for r in taken(in_natural_order(rows), most):
-        pages.setdefault((r.main_category, r.subcategory, r.page_label), []).append(r)
+    levels = ("main_category", "subcategory", "page_label")
+    named = in_natural_order(rows).withColumn("path_", F.array(*[safe_name(c, "General", 120) for c in levels]))
+    for *r, path in taken(named, most):
+        pages.setdefault((*(r[rows.columns.index(c)] for c in levels), tuple(path)), []).append(r)
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for key, group in pages.items():
@@ -79,7 +81,7 @@ def page_zip(rows: DataFrame, most: int = 100_000) -> bytes:
             table = csv.writer(text, lineterminator="\r\n")
             table.writerow(rows.columns)
             table.writerows(group)
-            z.writestr("/".join(path_component(k, "General", 120) for k in key) + ".csv", BOM + text.getvalue())
+            z.writestr("/".join(key[-1]) + ".csv", BOM + text.getvalue())
     return out.getvalue()
 
 

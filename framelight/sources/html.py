@@ -3,14 +3,15 @@
 import json
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from framelight.functions.urls import joined_url
+
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-SHOWN = 300  # characters of a node's text that are kept; longer texts are never names
+SHOWN = 300  # characters of a node's text that are kept, at least: what reads texts reads their first 240 (clean_text)
 NODES = T.StructType([
     T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("id", T.IntegerType()), T.StructField("tag", T.StringType()),
     T.StructField("attrs", T.MapType(T.StringType(), T.StringType())), T.StructField("path", T.ArrayType(T.IntegerType())), T.StructField("text", T.StringType()),
@@ -78,7 +79,8 @@ def _objects(x: object) -> Iterator[dict]:
 
 
 def structured_products(nodes: DataFrame) -> DataFrame:
-    """Products of application/ld+json scripts: page_id, at, name, image_url, product_url, in document order. Scripts that are not JSON count as none."""
+    """Products of application/ld+json scripts: page_id, at, name, image_url, product_url, in document order. Scripts that are not JSON, or nest too
+    deep, count as none; so do images whose address cannot be read."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -86,7 +88,7 @@ def structured_products(nodes: DataFrame) -> DataFrame:
             for page, base, node, text in zip(batch.page_id, batch.url, batch.id, batch.text, strict=True):
                 try:
                     found = list(_objects(json.loads(text)))
-                except ValueError:
+                except (ValueError, RecursionError):
                     continue
                 for i, x in enumerate(found):
                     kinds, image, link = x.get("@type"), x.get("image"), x.get("url")
@@ -94,9 +96,9 @@ def structured_products(nodes: DataFrame) -> DataFrame:
                         image = image.get("url") or image.get("contentUrl")
                     if isinstance(image, list):
                         image = next((y for y in image if isinstance(y, str)), None)
-                    if "Product" in (kinds if isinstance(kinds, list) else [kinds]) and isinstance(image, str):
+                    if "Product" in (kinds if isinstance(kinds, list) else [kinds]) and isinstance(image, str) and joined_url(base, image) is not None:
                         name = " ".join(str(x.get("name", "")).split())[:240] or "Unnamed product"
-                        rows.append((page, node * 100_000 + i, name, urljoin(base, image), urljoin(base, link) if isinstance(link, str) else None))
+                        rows.append((page, node * 100_000 + i, name, joined_url(base, image), joined_url(base, link) if isinstance(link, str) else None))
             yield pd.DataFrame(rows, columns=["page_id", "at", "name", "image_url", "product_url"])
 
     scripts = nodes.filter("tag = 'script' AND lower(attrs['type']) LIKE '%ld+json%'")

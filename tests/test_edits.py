@@ -42,7 +42,7 @@ def test_a_failure_to_remember_leaves_the_edit(spark):
 
 def test_fixed_values_hold():
     assert fixed_checks.fixed_value_errors() == []
-    assert len(fixed_checks.profiles_document("1")["category_anchor_policy"]) == sum(map(len, fixed_values.ANCHOR_POLICY.values()))
+    assert len(fixed_checks.profiles_document("1")["category_anchor_policy"]) == len(fixed_values.CATEGORY_ANCHOR)
 
 
 @pytest.mark.parametrize("change", [{"alignment": "left"}, {"target_width": 0.5}, {"target_height": 0.0}, {"max_width": 1.01}])

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from framelight.operators.extraction import best_of_srcset, crawl, dom_products, enriched, page_contexts, pagination_links, scrape, single_products
 from framelight.operators.review import number_pages
+from framelight.sources import html
 from framelight.sources.html import page_nodes, structured_products
 
 URL = "https://shop.example.com/c/ovens"
@@ -74,3 +75,46 @@ def test_crawl_goes_far_past_many_links(spark):
     assert [r.url for r in pages.orderBy("pos").collect()] == [url(i) for i in range(1, 26)]
     wide = crawl(spark.createDataFrame([("l", URL)], "listing_id string, url string"), spark.createDataFrame(web, "url string, links array<string>"))
     assert [r.url for r in wide.orderBy("pos").collect()] == [URL, *(f"https://shop.example.com/about/{j}" for j in range(24))]
+
+
+GOOD = """<html><head><title>Ovens</title></head><body><h1>Range</h1><div class="product-card"><a href="/p/1"><img src="/i/1.png" alt="Deck Oven"></a><h3 class="title">Deck Oven</h3></div>{more}
+<div class="pagination"><a href="/c?page=2">2</a></div></body></html>"""
+BROKEN = [
+    '<a href="http://[bad">3</a><div class="pagination"><a href="http://[bad/?page=3">3</a></div>',
+    '<div class="product"><a href="http://[bad"><img src="/i/9.png" alt="Good Oven"></a></div><div class="product"><a href="/p/8"><img src="http://[bad/8.png" alt="Other Oven"></a></div>',
+    '<script type="application/ld+json">{"@type":"Product","name":"Deck Oven","image":"http://[bad","url":"/p/1"}</script>',
+    '<script type="application/ld+json">' + '{"a":' * 30_000 + "1" + "}" * 30_000 + "</script>",
+    '<script type="application/ld+json">' + "[" * 100_000 + "</script>",
+]
+
+
+def test_what_cannot_be_read_stops_no_other_page(spark):
+    """A malformed address counts as none, markup that nests too deep as no data; other pages are as they were."""
+    base = "https://s.example.com/c"
+    rows = [(1, base, GOOD.format(more="")), (2, "http://[bad", GOOD.format(more="")), *((10 + i, base, GOOD.format(more=more)) for i, more in enumerate(BROKEN))]
+    nodes = page_nodes(spark.createDataFrame(rows, "page_id long, url string, html string")).cache()
+    products = {(r.page_id, r.name): r.image_url for r in scrape(nodes).collect()}
+    assert {p for p, name in products if name == "Deck Oven"} >= {1, *range(10, 10 + len(BROKEN))} and (11, "Other Oven") not in products
+    assert {r.page_id for r in page_contexts(nodes).collect()} == {r[0] for r in rows}
+    links = {}
+    for r in pagination_links(nodes).collect():
+        links.setdefault(r.page_id, []).append(r.link)
+    assert links == {p: [base + "?page=2"] for p, *_ in rows if p != 2}
+
+
+def test_text_beyond_what_is_kept_is_seen_by_nothing(spark, monkeypatch):
+    """Nodes with whole texts give the same products, contexts and links as nodes whose texts are cut."""
+    long = "very long words " * 60
+    more = f'<h1>{long}</h1><div class="breadcrumb">{long}</div><div class="product-card"><p>{long}</p><a href="/p/2">{long}<img src="/i/2.png"></a><h3 class="title">{long}</h3></div><nav><a href="/c?page=3">{long}</a></nav><section><h2>{long} you may also like</h2><div class="product"><a href="/p/4"><img src="/i/4.png" alt="{long}"></a></div></section>'
+
+    def nodes(shown):
+        monkeypatch.setattr(html, "SHOWN", shown)
+        parser = html.Flattener()
+        parser.feed(GOOD.format(more=more))
+        parser.close()
+        return spark.createDataFrame([(1, "https://s.example.com/c", i, tag, attrs, path, " ".join(texts)) for i, (tag, attrs, path, texts) in enumerate(parser.nodes)], html.NODES)
+
+    cut, whole = nodes(300), nodes(10**9)
+    assert whole.agg(F.max(F.char_length("text"))).first()[0] > 2000
+    for what in (scrape, lambda n: scrape(n, strict=False), pagination_links, page_contexts):
+        assert sorted(map(str, what(cut).collect())) == sorted(map(str, what(whole).collect())) != []

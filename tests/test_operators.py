@@ -1,12 +1,16 @@
 """Functions and operators on rows written by hand."""
 
+import re
+from hashlib import sha256
+from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
+
 import pytest
 from pyspark.sql import functions as F
 
 from framelight.functions.categories import category_scores, confidence, gate_mode, item_category, page_category
 from framelight.functions.geometry import anchor_mode, profile, standard, subtype
-from framelight.functions.text import catalog_text, clean_text, is_noise_name, natural_key, path_component, percent, python_fixed
-from framelight.functions.urls import candidate_key, canonical_http_url, is_public_literal, match_url, page_number
+from framelight.functions.text import catalog_text, clean_text, is_noise_name, natural_key, percent, python_fixed, safe_name
+from framelight.functions.urls import candidate_key, canonical_http_url, canonical_listing_url, is_public_literal, match_url, page_number
 from framelight.operators.audit import dedupe_rows, for_export, snapshot_summary, suggested_fix, upsert
 from framelight.operators.gate import dedupe_candidates, gated
 from framelight.operators.review import TUNING, edit_history, exception_identity, exception_suggestions, merged_tuning, number_pages, should_normalize, tuning_error, unique_names
@@ -26,11 +30,47 @@ def test_text(spark):
     assert [r.p for r in got] == ["page 1", "Page 2", "Page 10"]
 
 
-@pytest.mark.parametrize("raw", ["CON", "nul.txt", "COM1", "LPT9", "hello.", "a/b:c*", "", "x" * 400, "Ünïcode"])
-def test_names_are_safe(raw):
-    name = path_component(raw)
-    assert name and len(name) <= 96 and not set(name) & set('<>:"/\\|?*') and name[-1] not in " ." and name.partition(".")[0].upper() not in {"CON", "NUL", "COM1", "LPT9"}
-    assert path_component("a/b") != path_component("a:b")
+def test_names_are_safe(spark):
+    raws = ["CON", "nul.txt", "COM1", "LPT9", "hello.", "a/b:c*", "", " ", None, "x" * 400, "Ünïcode", "U\u0308", "a\tb", "\u00a0a", "a/b", "a:b", "..", "x" * 96, "😀" * 97]
+    got = [r[0] for r in spark.createDataFrame([(r,) for r in raws], "r string").select(safe_name("r")).collect()]
+    for name in got:
+        assert name and len(name) <= 96 and not set(name) & set('<>:"/\\|?*') and name[-1] not in " ." and name.partition(".")[0].upper() not in {"CON", "NUL", "COM1", "LPT9"}
+    named = dict(zip(raws, got, strict=True))
+    mark = lambda t: "__" + sha256(t.encode()).hexdigest()[:8]
+    assert named["CON"] == "_CON" + mark("CON") and named["nul.txt"] == "_nul.txt" + mark("nul.txt") and named["hello."] == "hello" + mark("hello.") and named["a/b:c*"] == "a_b_c_" + mark("a/b:c*")
+    assert named[""] == named[" "] == named[None] == "Item" and named["Ünïcode"] == "Ünïcode" and named["U\u0308"] == "Ü" and named["a\tb"] == "a_b" + mark("a\tb") and named["\u00a0a"] == "a" + mark("\u00a0a")
+    assert named["a/b"] != named["a:b"] and named[".."] == "Item" + mark("..") and named["x" * 96] == "x" * 96 and named["x" * 400] == "x" * 86 + mark("x" * 400) and named["😀" * 97] == "😀" * 86 + mark("😀" * 97)
+
+
+def test_canonical_urls(spark):
+    """Against the standard library's parser on addresses of all kinds."""
+    raws = [
+        "HTTPS://Example.COM:443//a/?b=2&a=1#x", "http://x:80", "http://x:8080/~a//b/", "http://u:p@X.y./p?q", "http://x/?a=%41&b=%zz&c=*~ +&=v&&d", "http://x/ä?ö=ü&ö=a", "http://[2001:DB8::1]:80/a", "http://x:0/", "http://x:99999/",
+        "http://x:ab/", "http://[bad", "http://bad]/", "ftp://x/a", "/rel//a/?b=1", "", " http://x/a\n", "http:///a", "mailto:a@b", "http://x?b=2;c=3&a", "http://x/a?b=%C3%A9&b=%ff", "//Host/a", None,
+    ]
+
+    def http(raw):
+        try:
+            p = urlsplit((raw or "").strip())
+            host, port = (p.hostname or "").rstrip("."), p.port
+        except ValueError:
+            return ""
+        if p.scheme not in ("http", "https") or not host:
+            return ""
+        path = re.sub("//+", "/", p.path or "/")
+        where = f"{host}:{port}" if port and (p.scheme, port) not in (("http", 80), ("https", 443)) else host
+        return urlunsplit((p.scheme, where, path if path == "/" else path.rstrip("/"), urlencode(sorted(parse_qsl(p.query, keep_blank_values=True))), ""))
+
+    def listing(raw):
+        try:
+            p = urlsplit(raw.strip())
+        except ValueError:
+            return None
+        return urlunsplit((p.scheme, p.netloc.lower(), re.sub("/+", "/", p.path or "/").rstrip("/") or "/", urlencode(sorted(parse_qsl(p.query, keep_blank_values=True))), ""))
+
+    got = spark.createDataFrame([(r,) for r in raws], "u string").select("u", canonical_http_url("u").alias("h"), canonical_listing_url("u").alias("l")).collect()
+    assert [(r.u, r.h) for r in got] == [(u, http(u)) for u in raws]
+    assert [(r.u, r.l) for r in got] == [(u, None if u is None else listing(u)) for u in raws]
 
 
 def test_urls(spark):
