@@ -1,8 +1,21 @@
-"""Intermediate tables that end their lineage."""
+"""Intermediate tables that end their lineage, and the folder they stand in."""
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A new place in the cluster's shared folder (in one of its own only where none is set, in local mode)."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+        at = f"file://{tempfile.mkdtemp()}"
+        spark.conf.set("spark.checkpoint.dir", at)
+    at = at.rstrip("/")
+    return f"{at if '://' in at else 'file://' + at}/{what}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -3,30 +3,27 @@
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from framelight.operators.audit import upsert
+from framelight.sinks.master import upsert_master
+from framelight.sinks.versions import Conflict, Versions
 
 
-def newest(spark, root: str) -> tuple[int, str] | None:
-    """The latest complete version under root."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    done = [int(s.getPath().getName()[1:]) for s in fs.listStatus(path) if s.getPath().getName().startswith("v") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return (max(done), f"{root}/v{max(done)}") if done else None
-
-
-def upsert_stream(rows: DataFrame, root: str, checkpoint: str, mode: str = "replace_page") -> StreamingQuery:
-    """Every batch makes a version of the table beside the last one, from that one and the batch; a batch that runs again
-    after a failure writes its own version anew, so each counts once."""
+def upsert_stream(rows: DataFrame, root: str, checkpoint: str, mode: str = "replace_page", stream: str = "master", attempts: int = 5) -> StreamingQuery:
+    """Every batch commits a version of the master table under root (sinks.versions) in which only the buckets of its pages are new. A version notes the last batch
+    of each ``stream``, so a batch that runs again after a failure counts once; where another writer commits first, the batch starts again from its version."""
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        last = newest(spark, root)
-        if last and last[0] >= number + 1:
-            return
-        stored = spark.read.parquet(last[1]) if last else batch.limit(0)
-        table, _ = upsert(stored, batch, mode)
-        table.drop("part").write.mode("overwrite").parquet(f"{root}/v{number + 1}")
+        store = Versions(batch.sparkSession, root)
+        for attempt in range(attempts):
+            with store.change() as change:
+                if change.notes.get(stream, -1) >= number:
+                    return
+                upsert_master(change, batch, mode)
+                change.notes[stream] = number
+                try:
+                    change.commit()
+                    return
+                except Conflict:
+                    if attempt == attempts - 1:
+                        raise
 
     return rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

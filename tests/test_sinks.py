@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from framelight.functions.fixed_values import AUDIT_COLUMNS
 from framelight.sinks.reports import as_text_cell, csv_bytes, html_report, page_zip, read_csv, review_folders, write_csv
-from framelight.streaming.audit_stream import newest, upsert_stream
+from framelight.sinks.versions import Versions
+from framelight.streaming.audit_stream import upsert_stream
 
 
 @pytest.fixture(scope="module")
@@ -43,5 +44,5 @@ def test_stream(spark, tmp_path):
     for name in ("a", "b"):
         spark.createDataFrame([("m", "s", "p", "https://x/p", name, f"https://x/{name}", 0)], schema).write.mode("append").parquet(source)
         upsert_stream(spark.readStream.schema(schema).parquet(source), root, f"{tmp_path}/cp", "append").awaitTermination()
-    number, path = newest(spark, root)
-    assert number == 2 and sorted(r.product_name for r in spark.read.parquet(path).collect()) == ["a", "b"]
+    store = Versions(spark, root)
+    assert store.number() == 2 and store.manifest()["notes"] == {"master": 1} and sorted(r.product_name for r in store.table("master").collect()) == ["a", "b"]
