@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framelight.llm.common import shuffle_partitions
 from framelight.llm.mixing import n_tokens
 
 LENGTHS = (512, 1024, 2048, 4096)
@@ -95,6 +94,9 @@ def pack_group(sizes: np.ndarray, lengths: tuple[int, ...], overhead: int) -> tu
     return bins, starts, final
 
 
+LEAST_GROUPS = 64  # of a table of 500 pieces for each, or more: what can be packed at a time
+
+
 def pack(df: DataFrame, lengths: tuple[int, ...] = LENGTHS, overhead: int = OVERHEAD, group_pieces: int = 20_000, seed: int = 0, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """A row for each piece: the columns in ``keep``, piece int (of its document), piece_start and piece_tokens
     long (which of the document's tokens), bin string, bin_start long (tokens before it in the bin), bin_length int."""
@@ -107,7 +109,7 @@ def pack(df: DataFrame, lengths: tuple[int, ...] = LENGTHS, overhead: int = OVER
     number = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("tokens_") / most), F.lit(1)) - 1))
     pieces = rows.select("row", "key_", "tokens_", number.alias("piece_")).withColumn("size_", F.least(F.lit(most), F.col("tokens_") - F.col("piece_") * most))
     n = rows.agg(F.coalesce(F.sum(F.greatest(F.ceil(F.col("tokens_") / most), F.lit(1))), F.lit(0))).first()[0]
-    n_groups = max(1, math.ceil(n / group_pieces), min(shuffle_partitions(df.sparkSession), math.ceil(n / 500)))
+    n_groups = max(1, math.ceil(n / group_pieces), min(LEAST_GROUPS, math.ceil(n / 500)))
     dealt = pieces.withColumn("group_", F.pmod(F.xxhash64("key_", "piece_"), F.lit(n_groups)).cast("int"))
     out = T.StructType([dealt.schema["row"],
         T.StructField("piece", T.IntegerType()), T.StructField("piece_start", T.LongType()), T.StructField("piece_tokens", T.LongType()),

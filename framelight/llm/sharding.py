@@ -6,18 +6,33 @@ the shuffled table, and shard s is the s-th of n_shards runs of it, so shard cou
 
 Defined cases: null and empty texts are rows as any other; rows alike in every column may stand in either
 order, which cannot be told apart; an empty table gives no rows; input columns named ``shard`` or ``slot``
-are replaced by the result's.
+are replaced by the result's. The result depends on the rows, the seed and the bucket size only, not on how many partitions a cluster uses.
 """
 
 import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framelight.llm.common import shuffle_partitions, total_bytes
+
+
+LEAST_BUCKETS = 64  # also of a small table: what can be shuffled at a time
+
+
+def row_bytes(df: DataFrame, columns: list[str]) -> Column:
+    """About what a row takes: texts and binaries by their length, other columns by that of their JSON or 8 bytes."""
+    def of(c: str) -> Column:
+        kind, x = df.schema[c].dataType, F.col(f"`{c}`")
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(x), F.lit(0))
+        if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            return F.coalesce(F.octet_length(F.to_json(F.struct(x.alias("x")))), F.lit(0))
+        return F.lit(8)
+
+    return sum((of(c).cast("long") for c in columns), F.lit(0).cast("long"))
 
 
 def bucket_starts(counts: DataFrame) -> DataFrame:
@@ -38,10 +53,11 @@ def bucket_starts(counts: DataFrame) -> DataFrame:
     )
 
 
-def shuffle_into_shards(df: DataFrame, n_shards: int, seed: int = 0, bucket_bytes: int = 32 << 20, text: str = "text") -> DataFrame:
+def shuffle_into_shards(df: DataFrame, n_shards: int, seed: int = 0, bucket_bytes: int = 32 << 20) -> DataFrame:
     """df's columns with shard int and slot long (gapless from 0 in each shard)."""
-    n_buckets = max(math.ceil(total_bytes(df, text) / bucket_bytes), n_shards, shuffle_partitions(df.sparkSession))
     kept = [c for c in df.columns if c.lower() not in ("shard", "slot")]
+    total = df.agg(F.coalesce(F.sum(row_bytes(df, kept)), F.lit(0))).first()[0]
+    n_buckets = max(math.ceil(total / bucket_bytes), n_shards, LEAST_BUCKETS)
     row = F.struct(*[F.col(f"`{c}`") for c in kept])
     key = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in kept])
     rows = df.select(row.alias("row"), key.alias("key")).withColumn("bucket", F.pmod("key", F.lit(n_buckets)).cast("int"))

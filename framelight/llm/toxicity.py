@@ -15,7 +15,9 @@ sentence scores, of how many of its words exceed that value and of their share o
 Labels are of documents: a toxic document's positive sentences are those that hold a word or stem far commoner in
 toxic documents, later those that the machine itself finds (two rounds). Learning takes at most ``max_toxic`` toxic and
 ``max_clean`` other documents, those of least hash, and ``max_bytes`` of text in all, in one task; the driver gets the finished
-table of 4 MB. Scoring reads every whole text.
+table of 4 MB. Scoring reads every whole text. The fit has these bounds besides, all parameters of ``train``: ``landmarks`` (192) landmarks in all, up to a third of
+them stems and up to a third usual words, drawn from the ``usual_words`` (4,000) commonest of other documents; ``max_sentences`` (12,000) sentences
+of each of three kinds (of clean documents; of toxic ones with a sign, without one), of documents in random order. They bound what is learned from, not what is scored.
 
 Defined cases: null is the empty text and scores as a document without sentences; with no toxic or no clean
 labelled document every score is the toxic share (0 if there are no labels); null labels do not count; ids may repeat (of the rows
@@ -150,7 +152,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(top @ self.final[:FEATURES] + self.final[FEATURES], -30, 30)))
 
 
-def train(texts: pa.Array, toxic: np.ndarray, landmarks: int = 192, max_sentences: int = 12_000, seed: int = 5) -> Model:
+def train(texts: pa.Array, toxic: np.ndarray, landmarks: int = 192, max_sentences: int = 12_000, usual_words: int = 4_000, seed: int = 5) -> Model:
     """texts: without nulls; toxic: booleans. A bounded sample, all in one task."""
     if not toxic.any() or toxic.all():
         share = float(toxic.mean()) if len(toxic) else 0.0
@@ -165,7 +167,7 @@ def train(texts: pa.Array, toxic: np.ndarray, landmarks: int = 192, max_sentence
     odds = np.log((n_bad + 0.1) / (n1 + 1)) - np.log((elsewhere + 0.1) / (n0 + 1))
     enough = np.flatnonzero(n_bad >= max(2, round(0.002 * n1)))
     enough = enough[np.argsort(-odds[enough] * np.sqrt(n_bad[enough]), kind="stable")]
-    usual = good[np.argsort(-n_good, kind="stable")[:4000]]
+    usual = good[np.argsort(-n_good, kind="stable")[:usual_words]]
     usual = usual[rng.permutation(len(usual))[: landmarks // 3]]
     stems = telling_stems(texts, toxic, landmarks // 3)
     told = bad[enough[: landmarks - len(usual) - len(stems)]]

@@ -12,6 +12,8 @@ from framelight.llm import hard_negatives, licenses
 from framelight.llm.conversations import Conversation, repair, repaired_turns
 from framelight.llm.hard_negatives import Tree, dual_search, intervals, mine
 from framelight.llm.licenses import BETWEEN, Templates, compiled, pattern, scan_licenses, step, words_of
+from framelight.llm.packing import pack
+from framelight.llm.sharding import shuffle_into_shards
 from framelight.llm.words import scan
 
 VECTORS = "vec_id long, embedding array<float>, label int, row string, cell int"
@@ -247,3 +249,18 @@ def test_every_license_finds_its_own_wording():
             words = scan(pa.array([" ".join(must[:i] + ["zzz"] + must[i + 1 :])]), BETWEEN)
             found = [f for f in known.places(known.numbers(words.hashes(fold=True)), words.doc, words.first) if f[1:3] == (label, phrase) and f[4] - f[3] >= len(must)]
             assert not found
+
+
+def test_shards_and_bins_do_not_depend_on_the_cluster(spark):
+    """The same rows under 4 and 40 shuffle partitions."""
+    rng = np.random.default_rng(6)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(["a", "bb", "ccc"], rng.integers(0, 90)))) for i in range(1300)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    seen = []
+    try:
+        for n in ("4", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            seen.append((sorted(tuple(r) for r in shuffle_into_shards(docs, 8, seed=3).select("doc_id", "shard", "slot").collect()), sorted(tuple(r) for r in pack(docs).select("doc_id", "piece", "bin", "bin_start").collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1] and len({b for _, _, b, _ in seen[0][1]}) > 1
