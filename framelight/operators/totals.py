@@ -2,7 +2,7 @@
 
 Counts of empty tables are 0; a missing count of a page has the fallback that its function names, else 0."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelight.functions.text import python_fixed
@@ -101,6 +101,22 @@ def excluded_everywhere(detection: DataFrame, audit: DataFrame) -> DataFrame:
     return tested.unionByName(excluded_rows(audited, True).withColumn("source_kind", F.lit("Advanced Audit")))
 
 
+def excluded_counts(rows: DataFrame) -> DataFrame:
+    """How many of excluded_everywhere's rows there are by scan, by page, by detected category and by confidence, in one pass: dimension, value (of a page also
+    its scan), n, and place, by which each dimension is listed (most first, then by name). Pages without exclusions are not listed; no rows give the total of 0."""
+    named = rows.select(
+        "source_kind", "page_label", F.coalesce(F.nullif("detected_category", F.lit("")), F.lit("Unknown")).alias("category"), F.coalesce(F.nullif("filter_confidence", F.lit("")), F.lit("unknown")).alias("confidence"),
+    )
+    dims = ["source_kind", "page_label", "category", "confidence"]
+    sets = [[], [F.col("source_kind")], [F.col("source_kind"), F.col("page_label")], [F.col("category")], [F.col("confidence")]]
+    of = {15: "all", 7: "scan", 3: "page", 13: "category", 14: "confidence"}  # by which dimensions are rolled up
+    counted = named.groupingSets(sets, *dims).agg(F.grouping_id(*dims).alias("g"), F.count(F.lit(1)).alias("n"))
+    kind = F.element_at(F.create_map(*[F.lit(x) for pair in of.items() for x in pair]), F.col("g").cast("int"))
+    shown = counted.select(kind.alias("dimension"), F.when(kind == "page", F.col("source_kind")).alias("scan"), F.when(kind == "page", F.col("page_label")).otherwise(F.coalesce("source_kind", "category", "confidence", F.lit(""))).alias("value"), "n")
+    order = Window.partitionBy("dimension").orderBy(F.desc("n"), "value", "scan")  # one row for each page and category: the lists themselves
+    return shown.withColumn("place", F.row_number().over(order))
+
+
 def detection_report(scored: DataFrame) -> DataFrame:
     """Scored items as the report of one scan: 17 columns of text, numbers with 2 or 6 decimals."""
     m, six = F.col("metrics"), lambda c: python_fixed(c, F.lit(6))

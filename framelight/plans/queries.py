@@ -282,11 +282,11 @@ def master_append_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {ITEMS_SQL}, r AS (SELECT page_id, own_key AS group_key, profile, CASE WHEN profile IN ('tall', 'boxy', 'compact') THEN height_occupancy ELSE width_occupancy END AS side, baseline_y AS b FROM grouped),
 g AS (SELECT page_id, group_key, profile, count(*) AS n, list_sort(list(side))[count(*) // 2 + 1] AS side, list_sort(list(b))[count(*) // 2 + 1] AS b FROM r GROUP BY ALL HAVING count(*) >= 2)
-SELECT page_id, group_key, n, CASE WHEN profile IN ('tall', 'boxy', 'compact') THEN greatest(0.40, least(0.90, format('{{:.4f}}', side)::DOUBLE)) END AS target_height, CASE WHEN profile NOT IN ('tall', 'boxy', 'compact') THEN greatest(0.38, least(0.92, format('{{:.4f}}', side)::DOUBLE)) END AS target_width,
+SELECT page_id, group_key, profile, n, CASE WHEN profile IN ('tall', 'boxy', 'compact') THEN greatest(0.40, least(0.90, format('{{:.4f}}', side)::DOUBLE)) END AS target_height, CASE WHEN profile NOT IN ('tall', 'boxy', 'compact') THEN greatest(0.38, least(0.92, format('{{:.4f}}', side)::DOUBLE)) END AS target_width,
 CASE WHEN profile IN ('tall', 'boxy', 'compact') THEN greatest(0.68, least(0.97, format('{{:.4f}}', b)::DOUBLE)) END AS baseline FROM g""")
 def page_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2: targets of each page's own groups."""
-    return calibration(analysed(catalog(spark, sf_dir))).drop("profile")
+    return calibration(analysed(catalog(spark, sf_dir)))
 
 
 @query("""WITH n AS (SELECT p_partkey // 40 AS page_id, p_partkey AS pos, 'A/B: ' || p_partkey % 7 AS name FROM part),

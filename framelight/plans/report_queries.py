@@ -10,7 +10,7 @@ from framelight.operators.gate import gated
 from framelight.operators.review import calibration, dragged_tuning, edit_history, exception_suggestions, should_normalize
 from framelight.operators.scoring import corrections, page_summary, score_items
 from framelight.operators.totals import (
-    RECOVERED, detection_report, excluded_everywhere, export_counts, membership_totals, page_counts, review_counts, scans_summary, showcase_counts, showcase_manifest,
+    RECOVERED, detection_report, excluded_counts, excluded_everywhere, export_counts, membership_totals, page_counts, review_counts, scans_summary, showcase_counts, showcase_manifest,
     showcase_shown,
 )
 from framelight.plans.catalog import CATALOG_SQL, analysed, catalog
@@ -73,24 +73,37 @@ def membership_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     return membership_totals(pages)
 
 
+_REASON = f"""'Detected as ' || detected || ' while the audit category gate is Coffee machine. Evidence: ' || chr(39) || replace({_EVIDENCE}, ', ', chr(39) || ', ' || chr(39)) || chr(39) || '. No Coffee machine category phrase was found in the product name/URLs. This does not mean the website placed the product in the wrong collection; it only explains why the audit gate excluded it.'"""
 _LEFT_OUT = f"""SELECT pos, '{{kind}}' AS source_kind, {{label}} AS page_label, 'https://shop.example.com/' || page_id AS page_url, name AS product_name, 'Coffee machine' AS expected_category, detected AS detected_category,
   CASE WHEN detected_score >= 5 AND detected_score - coalesce(second, 0) >= 2 THEN 'high' WHEN detected_score >= 3 THEN 'medium' ELSE 'low' END AS filter_confidence,
-  CAST(detected_score AS VARCHAR) AS detected_category_score, {_EVIDENCE} AS matched_evidence, product_url, image_url, 'dom' AS source, membership AS page_membership_method FROM gate WHERE NOT kept"""
+  CAST(detected_score AS VARCHAR) AS detected_category_score, {_EVIDENCE} AS matched_evidence, product_url, image_url, 'dom' AS source, membership AS page_membership_method, {_REASON} AS filter_reason FROM gate WHERE NOT kept"""
 
 
 @query(f"WITH {GATE_SQL} SELECT * EXCLUDE (pos) FROM ({_LEFT_OUT.format(kind='Detection Test', label=repr('Latest Detection Test'))} UNION ALL {_LEFT_OUT.format(kind='Advanced Audit', label='page_id')})")
 def excluded_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the gate left out, of a detection scan and of an audit of the same listings."""
     items = _gated(spark, sf_dir)
-    return excluded_everywhere(items, items).drop("filter_reason")
+    return excluded_everywhere(items, items)
+
+
+_LISTED = f"""SELECT * EXCLUDE (pos) FROM ({_LEFT_OUT.format(kind='Detection Test', label=repr('Latest Detection Test'))} UNION ALL {_LEFT_OUT.format(kind='Advanced Audit', label='page_id')})"""
+_BY = {"all": ("CAST(NULL AS VARCHAR)", "''"), "scan": ("CAST(NULL AS VARCHAR)", "source_kind"), "page": ("source_kind", "page_label"), "category": ("CAST(NULL AS VARCHAR)", "detected_category"), "confidence": ("CAST(NULL AS VARCHAR)", "filter_confidence")}
+
+
+@query(f"""WITH {GATE_SQL}, l AS ({_LISTED}), c AS ({" UNION ALL ".join(f"SELECT '{d}' AS dimension, {scan} AS scan, {value} AS value, count(*) AS n FROM l GROUP BY ALL" for d, (scan, value) in _BY.items())})
+SELECT dimension, scan, value, n, CAST(row_number() OVER (PARTITION BY dimension ORDER BY n DESC, value, scan NULLS FIRST) AS INTEGER) AS place FROM c""")
+def excluded_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exclusions by scan, page, category and confidence, from the filtered rows, in one pass."""
+    items = _gated(spark, sf_dir)
+    return excluded_counts(excluded_everywhere(items, items))
 
 
 @query(f"""WITH {SCORED_SQL} SELECT name, image_url, product_url, profile, subtype, CASE WHEN len(issues) > 0 THEN 'review' ELSE 'pass' END AS status, format('{{:.6f}}', height_occupancy) AS height_occupancy, format('{{:.6f}}', width_occupancy) AS width_occupancy,
 format('{{:.6f}}', abs(center_x - 0.5)) AS horizontal_center_offset, format('{{:.6f}}', top_padding) AS top_padding, format('{{:.6f}}', bottom_padding) AS bottom_padding, format('{{:.6f}}', accessory_area_ratio) AS accessory_area_ratio,
-CAST(n_components AS VARCHAR) AS component_count, array_to_string(issues, ' | ') AS issues, format('{{:.6f}}', ratio) AS scale_ratio_to_family_median, format('{{:.2f}}', score) AS consistency_score FROM scored""")
+CAST(n_components AS VARCHAR) AS component_count, array_to_string(issues, ' | ') AS issues, format('{{:.6f}}', ratio) AS scale_ratio_to_family_median, format('{{:.2f}}', score) AS consistency_score, comparison_group FROM scored""")
 def scan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F16: the report of a scan, numbers as text."""
-    return detection_report(score_items(analysed(catalog(spark, sf_dir)))).drop("comparison_group")
+    return detection_report(score_items(analysed(catalog(spark, sf_dir))))
 
 
 _SHOWN = f"SELECT *, d IS DISTINCT FROM 'keep_original' AND (coalesce(d IN ('use_fixed', 'complete_rework'), false) OR len(issues) > 0) AS chosen FROM scored LEFT JOIN (SELECT user_id % 3000 AS pos, arg_max({_EVENT}, event_id) AS d FROM events GROUP BY 1) USING (pos)"
