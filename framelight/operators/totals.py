@@ -103,7 +103,7 @@ def excluded_everywhere(detection: DataFrame, audit: DataFrame) -> DataFrame:
 
 def excluded_counts(rows: DataFrame) -> DataFrame:
     """How many of excluded_everywhere's rows there are by scan, by page, by detected category and by confidence, in one pass: dimension, value (of a page also
-    its scan), n, and place, by which each dimension is listed (most first, then by name). Pages without exclusions are not listed; no rows give the total of 0."""
+    its scan), n, and place, by which each dimension is listed (most first, then by name). Pages without exclusions are not listed; no rows give none."""
     named = rows.select(
         "source_kind", "page_label", F.coalesce(F.nullif("detected_category", F.lit("")), F.lit("Unknown")).alias("category"), F.coalesce(F.nullif("filter_confidence", F.lit("")), F.lit("unknown")).alias("confidence"),
     )

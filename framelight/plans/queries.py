@@ -189,12 +189,15 @@ def page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.coalesce(page_number(url).cast("string"), F.lit("")).alias("number"), is_paginated(url).alias("paginated"), is_public_literal(url).alias("public"))
 
 
+_KEY = "CASE WHEN regexp_matches(a[1], '^https?://[^/]*/*$') THEN rtrim(a[1], '/') || '/' ELSE rtrim(a[1], '/') END || coalesce('?' || array_to_string(list_sort(string_split(a[2], '&')), '&'), '')"
+
+
+@query(f"SELECT page_id, {_KEY} AS http_key, {_KEY} AS listing_key FROM (SELECT page_id, string_split(string_split(url, '#')[1], '?') AS a FROM pages)")
 def page_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The canonical keys of the pages' addresses."""
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", canonical_http_url("url").alias("http_key"), canonical_listing_url("url").alias("listing_key"))
 
 
-QUERIES["page_keys"] = page_keys
 
 _EVENT = "CASE event_id % 4 WHEN 0 THEN 'keep_original' WHEN 1 THEN 'use_fixed' WHEN 2 THEN 'complete_rework' ELSE 'reset' END"
 

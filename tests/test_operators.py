@@ -15,6 +15,7 @@ from framelight.operators.audit import dedupe_rows, for_export, snapshot_summary
 from framelight.operators.gate import dedupe_candidates, gated
 from framelight.operators.review import TUNING, edit_history, exception_identity, exception_suggestions, merged_tuning, number_pages, should_normalize, tuning_error, unique_names
 from framelight.operators.scoring import summarise
+from framelight.operators.totals import excluded_counts
 
 
 def one(spark, *columns):
@@ -190,3 +191,15 @@ def test_names_and_numbers(spark):
     pages = [("a", 0, "u0", None), ("a", 1, "u3", 3), ("a", 2, "u?", None), ("b", 0, "v1", 1), ("b", 1, "v?", None)]
     got = number_pages(spark.createDataFrame(pages, "listing_id string, pos int, url string, page_number long")).orderBy("listing_id", "page_number").collect()
     assert [(r.url, r.page_number) for r in got] == [("u0", 1), ("u?", 2), ("u3", 3), ("v1", 1), ("v?", 2)]
+
+
+def test_excluded_counts(spark):
+    """Against counters; ties by name; unnamed categories and confidences; an empty table."""
+    rows = [("a", "p1", "Oven", "high"), ("a", "p1", "Hob", "low"), ("a", "p2", "", None), ("b", "p1", "Hob", "low"), ("b", "p1", None, "")]
+    form = "source_kind string, page_label string, detected_category string, filter_confidence string"
+    got = {(r.dimension, r.scan, r.value): (r.n, r.place) for r in excluded_counts(spark.createDataFrame(rows, form)).collect()}
+    assert got == {
+        ("all", None, ""): (5, 1), ("scan", None, "a"): (3, 1), ("scan", None, "b"): (2, 2), ("page", "a", "p1"): (2, 1), ("page", "b", "p1"): (2, 2), ("page", "a", "p2"): (1, 3),
+        ("category", None, "Hob"): (2, 1), ("category", None, "Unknown"): (2, 2), ("category", None, "Oven"): (1, 3), ("confidence", None, "low"): (2, 1), ("confidence", None, "unknown"): (2, 2), ("confidence", None, "high"): (1, 3),
+    }
+    assert excluded_counts(spark.createDataFrame([], form)).collect() == []
