@@ -32,6 +32,8 @@ PRODUCT_DATA = ["data-product-id", "data-product_id", "data-product", "data-sku"
 IMAGE_FILE = r"\.(?:jpe?g|png|webp|gif|svg|avif|bmp|tiff?)(?:$|[?#])"
 ACTION_LINK = r"add[-_ ]?to[-_ ]?cart|wishlist|compare|quick[-_ ]?view|lightbox|login|account|cart|checkout|wp-content|uploads?/"
 SOURCES = ["data-zoom-image", "data-large_image", "data-large-image", "data-original", "data-lazy-src", "data-src", "src"]
+# Why an image is no product.
+NO_PRODUCT = ["UI / website-chrome text", "UI / social / store-badge URL", "Image is inside footer/header/social/app UI"]
 HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
 PAGER = r"(?i)pagination|pager|page-numbers|page_numbers|nav-links|nav_links|pages"
 NEXT = ["next", "next page", "older", "›", "»", ">"]
@@ -64,8 +66,8 @@ def is_detail_url(page: Column, url: Column) -> Column:
     return F.coalesce(low.rlike("^https?://") & same_origin(page, url) & ~low.rlike(IMAGE_FILE) & ~low.rlike(ACTION_LINK) & ~(url.contains("#") & ~url.endswith("#") & (F.trim(path, F.lit("/")) == "")), F.lit(False))
 
 
-def dom_products(nodes: DataFrame, strict: bool = True) -> DataFrame:
-    """Candidates of each page: page_id, pos, name, image_url, product_url, page_membership_method and _confidence."""
+def judged_images(nodes: DataFrame) -> DataFrame:
+    """Named images of each page that may be products: page_id, pos, name, image_url, product_url, has_card, and the first reason why one is none (null: it may be one)."""
     a = F.col("attrs")
     src = F.coalesce(best_of_srcset(F.coalesce(*[F.nullif(a[k], F.lit("")) for k in ("srcset", "data-srcset", "data-lazy-srcset")])), *[F.nullif(a[k], F.lit("")) for k in SOURCES])
     small = lambda k: F.coalesce(a[k].try_cast("double") < 90, F.lit(False)) & (a[k] != "")
@@ -122,7 +124,18 @@ def dom_products(nodes: DataFrame, strict: bool = True) -> DataFrame:
     product_url = F.when(has_card, F.greatest(F.col("best"), around_it)["to"]).otherwise(F.coalesce(recovered, around_it["to"]))
     out = found.select("page_id", "url", F.col("id").alias("pos"), name.alias("name"), "image_url", product_url.alias("product_url"), has_card.alias("has_card"), "furniture", "alt", "title")
     searched = F.concat_ws(" ", "name", "image_url", F.coalesce("product_url", F.lit("")), "alt", "title")
-    out = out.filter(~is_noise_name(searched) & ~searched.rlike(FURNITURE_URL) & ~F.coalesce("furniture", F.lit(False)))
+    reason = F.when(is_noise_name(searched), NO_PRODUCT[0]).when(searched.rlike(FURNITURE_URL), NO_PRODUCT[1]).when(F.coalesce("furniture", F.lit(False)), NO_PRODUCT[2])
+    return out.withColumn("reason", reason).select("page_id", "pos", "name", "image_url", "product_url", "has_card", "reason")
+
+
+def rejected_images(nodes: DataFrame) -> DataFrame:
+    """The images of each page that are no products, and why."""
+    return judged_images(nodes).filter("reason IS NOT NULL").select("page_id", "pos", "image_url", "reason")
+
+
+def dom_products(nodes: DataFrame, strict: bool = True) -> DataFrame:
+    """Candidates of each page: page_id, pos, name, image_url, product_url, page_membership_method and _confidence."""
+    out = judged_images(nodes).filter("reason IS NULL")
     method = F.when(F.col("has_card"), "catalog_card").when(F.col("product_url").isNotNull() & (F.col("name") != "Unnamed product"), "strong_product_link_recovery")
     sure = F.when(F.col("has_card") & F.col("product_url").isNotNull(), "high").when(method.isNotNull(), "medium").otherwise("low")
     out = out.withColumn("page_membership_method", method).withColumn("page_membership_confidence", sure)

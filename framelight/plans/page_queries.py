@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from framelight.functions.categories import archetype, item_category
 from framelight.functions.fixed_values import AMAZON_A_PROFILES
-from framelight.operators.extraction import crawl, page_contexts, pagination_links, scrape, single_products
+from framelight.operators.extraction import crawl, page_contexts, pagination_links, rejected_images, scrape, single_products
 from framelight.operators.images import image_metrics
 from framelight.operators.normaliser import normalise
 from framelight.operators.review import number_pages
@@ -75,6 +75,22 @@ def listing_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_contexts(page_nodes(_pages(spark, sf_dir, _CARDS, _NAME)))
 
 
+_MIXED = {
+    0: _CARDS[0],
+    1: """<div class="product"><a href="/p/{k}"><img src="/i/logo-{k}.png" alt="{name}"></a></div>""",
+    2: """<footer><div class="product"><a href="/p/{k}"><img src="/i/{k}.png" alt="{name}"></a></div></footer>""",
+    3: """<div class="product"><a href="/p/{k}"><img src="/i/{k}.png" alt="Follow us"></a><h3 class="title">{name}</h3></div>""",
+}
+
+
+@query(f"""SELECT p_partkey // {PER_PAGE} AS page_id, '{SHOP}/i/' || CASE p_partkey % 4 WHEN 1 THEN 'logo-' ELSE '' END || p_partkey || '.png' AS image_url,
+CASE p_partkey % 4 WHEN 2 THEN 'Image is inside footer/header/social/app UI' ELSE 'UI / website-chrome text' END AS reason FROM part WHERE p_partkey % 4 <> 0
+UNION ALL SELECT page_id, '{SHOP}/i/' || f || '.png', 'Image is inside footer/header/social/app UI' FROM (SELECT DISTINCT p_partkey // {PER_PAGE} AS page_id FROM part), (SELECT unnest(['top', 'foot']) AS f)""")
+def listing_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the images of listings that are no products, and why."""
+    return rejected_images(page_nodes(_pages(spark, sf_dir, _MIXED, _NAME))).drop("pos")
+
+
 # --- crawls: a listing of each supplier, whose next page is the last of many links
 _LAST, _MANY = "(s_suppkey % 30 + 1)", "".join(f'<a href="/about/{i}">About {i}</a>' for i in range(48))
 _LISTED = f"""<html><body>{_MANY}<a href="{{back}}">{{label}}</a><div class="pagination">{{more}}</div></body></html>"""
