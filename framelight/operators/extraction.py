@@ -66,6 +66,26 @@ def is_detail_url(page: Column, url: Column) -> Column:
     return F.coalesce(low.rlike("^https?://") & same_origin(page, url) & ~low.rlike(IMAGE_FILE) & ~low.rlike(ACTION_LINK) & ~(url.contains("#") & ~url.endswith("#") & (F.trim(path, F.lit("/")) == "")), F.lit(False))
 
 
+def names_beside(nodes: DataFrame, images: DataFrame) -> DataFrame:
+    """page_id, id, near_name of those images (page_id, id, path) that have a name near them: of their six nearest ancestors the first that holds a
+    heading (h1 to h5), else an element whose class has title or name, else is itself an article, a list item or a product-like division whose whole
+    text will do. Of each kind only the first element below an ancestor counts, and texts of 4 to 180 characters that are no noise.
+
+    Only ids of possible names are told to their ancestors, and only texts that were chosen are looked up."""
+    a = F.col("attrs")
+    fits = lambda text: F.length(text).between(4, 180) & ~is_noise_name(text)
+    kinds = F.array(*[F.when(F.col("tag") == h, F.lit(i)) for i, h in enumerate(HEADINGS[:5])], *[F.when(F.coalesce(a["class"].contains(w), F.lit(False)), F.lit(5 + i)) for i, w in enumerate(("title", "name"))])
+    named = nodes.select("page_id", "id", "path", F.explode(F.array_compact(kinds)).alias("kind"))
+    first = named.select("page_id", F.explode("path").alias("up"), "kind", "id").groupBy("page_id", "up", "kind").agg(F.min("id").alias("at"))
+    up = images.select("page_id", "id", F.posexplode(F.slice("path", 1, 6)).alias("depth", "up"))
+    whole = (F.col("tag").isin("article", "li") | ((F.col("tag") == "div") & F.coalesce(a["class"].rlike("(?i)product|card|item|tile"), F.lit(False))))
+    own = nodes.filter(whole).select("page_id", F.col("id").alias("up"), F.lit(7).alias("kind"), F.col("id").alias("at"))
+    places = up.join(first.unionByName(own), ["page_id", "up"]).select("page_id", "id", "depth", "kind", "at")
+    texts = nodes.filter(whole | (F.size(F.array_compact(kinds)) > 0)).select("page_id", F.col("id").alias("at"), clean_text(F.col("text")).alias("text"))
+    found = places.join(texts.filter(fits(F.col("text"))), ["page_id", "at"])
+    return found.groupBy("page_id", "id").agg(F.min_by("text", F.struct("depth", "kind")).alias("near_name"))
+
+
 def judged_images(nodes: DataFrame) -> DataFrame:
     """Named images of each page that may be products: page_id, pos, name, image_url, product_url, has_card, and the first reason why one is none (null: it may be one)."""
     a = F.col("attrs")
@@ -117,7 +137,8 @@ def judged_images(nodes: DataFrame) -> DataFrame:
 
     own = F.when((F.col("alt") != "") & ~is_noise_name(F.col("alt")) & (F.length("alt") >= 4), F.col("alt"))
     title = F.when((F.col("title") != "") & ~is_noise_name(F.col("title")), F.col("title"))
-    name = F.coalesce(own, "title_name", "link_name", title, F.lit("Unnamed product"))
+    found = found.join(names_beside(nodes, images.filter(F.col("card").isNull() & own.isNull() & title.isNull()).select("page_id", "id", "path")), ["page_id", "id"], "left")
+    name = F.coalesce(own, "title_name", "link_name", title, "near_name", F.lit("Unnamed product"))
     around_it = F.when(F.col("direct.fine"), F.struct(F.col("direct.score").alias("score"), F.length("direct.to").alias("n"), F.col("direct.to").alias("to")))
     has_card = F.col("card").isNotNull()
     recovered = F.when(F.col("direct.fine") & (canonical_listing_url("direct.to") != canonical_listing_url("url")), F.col("direct.to"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from framelight.functions.categories import archetype, item_category
 from framelight.functions.fixed_values import AMAZON_A_PROFILES
-from framelight.operators.extraction import crawl, page_contexts, pagination_links, rejected_images, scrape, single_products
+from framelight.operators.extraction import crawl, dom_products, page_contexts, pagination_links, rejected_images, scrape, single_products
 from framelight.operators.images import image_metrics
 from framelight.operators.normaliser import normalise
 from framelight.operators.review import number_pages
@@ -75,6 +75,25 @@ def listing_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_contexts(page_nodes(_pages(spark, sf_dir, _CARDS, _NAME)))
 
 
+# images without a card or a name of their own: what stands around them names them
+_BESIDE = {
+    0: """<div><h3>{name}</h3><p><a href="/p/{k}"><img src="/i/{k}.png"></a></p></div>""",
+    1: """<div><span class="title">{name}</span><b><img src="/i/{k}.png"></b></div>""",
+    2: """<div><h2>No</h2><h4>{name}</h4><p><a href="/p/{k}"><img src="/i/{k}.png"></a></p></div>""",
+    3: """<div class="mytile"><a href="/p/{k}"><img src="/i/{k}.png"></a> {name}</div>""",
+    4: """<div><h3>Another {k}</h3><div><i class="name">{name} too</i><h5>{name}</h5><a href="/p/{k}"><img src="/i/{k}.png"></a></div></div>""",
+    5: """<div><h3>Another {k}</h3><p><a href="/p/{k}"><img title="{name}" src="/i/{k}.png"></a></p></div>""",
+    6: """<div><h3>Too far {k}</h3><b><b><b><b><b><a href="/p/{k}"><img src="/i/{k}.png"></a></b></b></b></b></b></div>""",
+}
+
+
+@query(f"""SELECT p_partkey // {PER_PAGE} AS page_id, CASE p_partkey % 7 WHEN 6 THEN 'Unnamed product' ELSE {_NAME} END AS name, '{SHOP}/i/' || p_partkey || '.png' AS image_url, CASE WHEN p_partkey % 7 <> 1 THEN '{SHOP}/p/' || p_partkey END AS product_url,
+CASE WHEN p_partkey % 7 IN (1, 6) THEN 'legacy_dom' ELSE 'strong_product_link_recovery' END AS page_membership_method, CASE WHEN p_partkey % 7 IN (1, 6) THEN 'low' ELSE 'medium' END AS page_membership_confidence FROM part""")
+def listing_names_beside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H9: images without a card, named by what stands near them."""
+    return dom_products(page_nodes(_pages(spark, sf_dir, _BESIDE, _NAME)), strict=False).drop("pos")
+
+
 _MIXED = {
     0: _CARDS[0],
     1: """<div class="product"><a href="/p/{k}"><img src="/i/logo-{k}.png" alt="{name}"></a></div>""",
