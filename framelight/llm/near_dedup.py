@@ -19,15 +19,20 @@ Candidates are verified by their exact Jaccard similarity, the greater of those
 
 Groups of comparisons are salted: a text that thousands are compared with is sent to as many tasks as they need.
 
+Links are the pairs of different texts that were found to be alike, each with its similarity; they join all texts of a class. Texts that are in one
+component already are not compared again, so that a class of n texts has n - 1 links or more, not all its pairs.
+
 Defined cases: null is the empty text; texts without words are alike only if equal; equal texts are one node, so they share
 a class; a class's id is its least doc_id (null ids last); ids may repeat and be null, so classes of different texts may have the same id
 and only their labels tell them apart; an empty table gives no rows.
 """
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,10 +46,12 @@ SAMPLES = BANDS * ROWS
 SETS = 2 * BANDS  # of samples with idf, and without
 CELLS = 1 << 18
 PARTS = 64  # of the table of document frequencies
+LANES = 256  # in which tasks' tables are added up first
 LOW = np.uint64((1 << 52) - 1)
 TURNS, PIVOTS = 6, 4
 WORTH = 0.05  # links for each comparison, below which no further turn is made
 GROUP = 200  # texts compared with one text in one task
+LINKS = "a binary, b binary, similarity double"
 
 
 def gamma2_quantiles(n: int = 1 << 16) -> np.ndarray:
@@ -99,15 +106,16 @@ def idf_table(df: DataFrame, text: str = "text") -> np.ndarray:
             docs += len(b)
             for _, _, _, h, _ in shingles(flat(b.column(0))):
                 total += np.bincount(cells(h), minlength=CELLS)
-        parts = total.reshape(PARTS, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([docs if p == 0 else 0 for p in range(PARTS)], pa.int64()), pa.array([pack(np.ascontiguousarray(x)) for x in parts], pa.binary())], ["part", "docs", "counts"])
+        parts, lane = total.reshape(PARTS, -1), TaskContext.get().partitionId() % LANES
+        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([lane] * PARTS, pa.int32()), pa.array([docs if p == 0 else 0 for p in range(PARTS)], pa.int64()), pa.array([pack(np.ascontiguousarray(x)) for x in parts], pa.binary())], ["part", "lane", "docs", "counts"])
 
     def add(part: pa.Table) -> pa.Table:
         total = sum(unpack(x.as_py(), CELLS // PARTS, np.int64) for x in part["counts"])
-        return pa.table({"part": part["part"].slice(0, 1), "docs": pa.array([sum(part["docs"].to_pylist())], pa.int64()), "counts": pa.array([pack(total)], pa.binary())})
+        return pa.table({"part": part["part"].slice(0, 1), "lane": part["lane"].slice(0, 1), "docs": pa.array([sum(part["docs"].to_pylist())], pa.int64()), "counts": pa.array([pack(total)], pa.binary())})
 
-    schema = "part int, docs long, counts binary"
-    rows = df.select(text).mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema).collect()  # PARTS rows
+    schema = "part int, lane int, docs long, counts binary"
+    lanes = df.select(text).mapInArrow(count, schema).groupBy("part", "lane").applyInArrow(add, schema)  # every task brings a row to each part
+    rows = lanes.groupBy("part").applyInArrow(add, schema).collect()  # PARTS rows
     rows = sorted(rows, key=lambda r: r["part"])
     docs = sum(r["docs"] for r in rows)
     total = np.concatenate([unpack(bytes(r["counts"]), CELLS // PARTS, np.int64) for r in rows]) if rows else np.zeros(CELLS, np.int64)
@@ -173,7 +181,7 @@ def jaccard(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> float:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """Of pairs (a, b), no two alike, those of similarity threshold or more. texts: node, text."""
+    """Of pairs (a, b), no two alike, those of similarity threshold or more, and their similarity. texts: node, text."""
     size = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("salts"))
     wide = size.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("node"), F.lit(True).alias("is_a"))
     many = settle(size.filter("salts > 1"))  # a table of its own, so that Spark can split the join
@@ -187,9 +195,9 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: flo
         first = weighted(flat(group["text"].slice(one, 1)), idf)[0]
         like = np.array([jaccard(first, x) for x in weighted(flat(group["text"].take(rest)), idf)])
         b = group["node"].take(rest).filter(pa.array(like >= threshold, pa.bool_()))
-        return pa.table({"a": pa.chunked_array([pa.array([group["a"][0].as_py()] * len(b), pa.binary())]), "b": b})
+        return pa.table({"a": pa.chunked_array([pa.array([group["a"][0].as_py()] * len(b), pa.binary())]), "b": b, "similarity": pa.chunked_array([pa.array(like[like >= threshold], pa.float64())])})
 
-    return needed.join(texts, "node").groupBy("a", "salt").applyInArrow(compare, "a binary, b binary")
+    return needed.join(texts, "node").groupBy("a", "salt").applyInArrow(compare, LINKS)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -259,19 +267,21 @@ def crossed(mixed: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: floa
             same = bands[1] == bands[0][i]
             here = bands[0][i][same.argmax(1)] == band
             for j in np.flatnonzero(here).tolist():
-                if labels[0][i] != labels[1][j] and (major[j] or nodes[0][i] < nodes[1][j]) and jaccard(sets[0][i], sets[1][j]) >= threshold:
-                    ends.append((nodes[0][i], nodes[1][j]))
-        return pa.table({"a": pa.array([a for a, _ in ends], pa.binary()), "b": pa.array([b for _, b in ends], pa.binary())})
+                if labels[0][i] != labels[1][j] and (major[j] or nodes[0][i] < nodes[1][j]):
+                    like = jaccard(sets[0][i], sets[1][j])
+                    if like >= threshold:
+                        ends.append((nodes[0][i], nodes[1][j], like))
+        return pa.table({c: pa.array([x[k] for x in ends], t) for k, (c, t) in enumerate((("a", pa.binary()), ("b", pa.binary()), ("similarity", pa.float64())))})
 
-    return minor.unionByName(every).join(texts, "node").groupBy("band", "x", "y").applyInArrow(compare, "a binary, b binary").distinct()
+    return minor.unionByName(every).join(texts, "node").groupBy("band", "x", "y").applyInArrow(compare, LINKS).dropDuplicates(["a", "b"])
 
 
 def node_of(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def near_classes(df: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, node (the text's), class_id, label (of the class, the least node), for each row."""
+def near_graph(df: DataFrame, threshold: float, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Rows as (id, node); nodes as (node, first_id, class_id, label); tables of links (a, b, similarity) between nodes."""
     rows = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).withColumn("node", node_of(F.col("text")))
     idf = idf_table(rows)
 
@@ -293,7 +303,7 @@ def near_classes(df: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc
     pairs = settle(shared.filter("node <> a").select("a", F.col("node").alias("b")).distinct())
     banded = shared.select("band", "node")
     links = settle(verified(pairs, texts.select("node", "text"), idf, threshold))
-    labels = components(links)
+    labels, all_links = components(links), [links]
     for turn in range(1, TURNS + 1):
         mixed = settle(mixed_buckets(banded, labels))
         pairs = settle(pivots(mixed, turn))
@@ -303,6 +313,7 @@ def near_classes(df: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc
         n_found = found.count()
         if n_found:
             labels = merged(labels, found)
+            all_links.append(found)
         if n_found < WORTH * pairs.count():
             break
     mixed = settle(mixed_buckets(banded, labels))
@@ -310,10 +321,37 @@ def near_classes(df: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc
         found = settle(crossed(mixed, texts, idf, threshold))
         if not found.isEmpty():
             labels = merged(labels, found)
+            all_links.append(found)
     nodes = first.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     class_ids = nodes.groupBy("label").agg(F.min("first_id").alias("class_id"))
-    nodes = settle(nodes.join(class_ids, "label").select("node", "class_id", "label"))
-    return rows.select("id", "node").join(nodes, "node").select(F.col("id").alias(doc_id), "node", "class_id", "label")
+    nodes = settle(nodes.join(class_ids, "label").select("node", "first_id", "class_id", "label"))
+    return rows.select("id", "node"), nodes, all_links
+
+
+def near_classes(df: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, node (the text's), class_id, label (of the class, the least node), for each row."""
+    rows, nodes, _ = near_graph(df, threshold, doc_id, text)
+    return rows.join(nodes.drop("first_id"), "node").select(F.col("id").alias(doc_id), "node", "class_id", "label")
+
+
+def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """near_classes' columns for each row, with its text's links: n_links, and of the most similar linked text (ties: least node) nearest_id, its least
+    doc_id, and similarity (both null where there are no links)."""
+    rows, nodes, links = near_graph(df, threshold, doc_id, text)
+    links = reduce(DataFrame.unionByName, links)
+    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    best = ends.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_links"), F.min(F.struct((-F.col("similarity")).alias("unlike"), F.col("b").alias("nearest"))).alias("best"))
+    best = best.select("node", "n_links", F.col("best.nearest").alias("nearest"), (-F.col("best.unlike")).alias("similarity"))
+    best = best.join(nodes.select(F.col("node").alias("nearest"), F.col("first_id").alias("nearest_id")), "nearest").drop("nearest")
+    nodes = nodes.drop("first_id").join(best, "node", "left")
+    return rows.join(nodes, "node").select(F.col("id").alias(doc_id), "node", "class_id", "label", F.coalesce("n_links", F.lit(0)).alias("n_links"), "nearest_id", "similarity")
+
+
+def near_links(df: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The links as pairs of documents: a_id, b_id (the least doc_id of each text, of which copies are members), label, similarity."""
+    _, nodes, links = near_graph(df, threshold, doc_id, text)
+    end = lambda c: nodes.select(F.col("node").alias(c), F.col("first_id").alias(f"{c}_id"), *([F.col("label")] if c == "a" else []))
+    return reduce(DataFrame.unionByName, links).join(end("a"), "a").join(end("b"), "b").select("a_id", "b_id", "label", "similarity")
 
 
 def keep_one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -13,7 +13,7 @@ from framelight.llm.licenses import TEMPLATES, compiled, first_pairs, pattern, s
 from framelight.llm.line_dedup import drop_frequent_lines
 from framelight.llm.lm_scoring import score_documents
 from framelight.llm.mixing import mix_sources
-from framelight.llm.near_dedup import near_classes
+from framelight.llm.near_dedup import near_duplicates
 from framelight.llm.neighbours import nearest
 from framelight.llm.packing import pack
 from framelight.llm.sharding import shuffle_into_shards
@@ -60,7 +60,8 @@ def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", F.hex("label").alias("class_label"))
+    found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "class_id", F.hex("label").alias("class_label"), "n_links", "nearest_id", "similarity")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from framelight.llm.fingerprints import edited_fingerprints, hamming_links
 from framelight.llm.line_dedup import drop_frequent_lines
 from framelight.llm.lm_scoring import score_documents
 from framelight.llm.mixing import mix_sources, temperature
-from framelight.llm.near_dedup import keep_one_of_each, near_classes
+from framelight.llm.near_dedup import keep_one_of_each, near_classes, near_duplicates, near_links
 from framelight.llm.neighbours import nearest
 from framelight.llm.packing import pack, pack_group
 from framelight.llm.sharding import shuffle_into_shards
@@ -247,6 +247,40 @@ def test_near_dedup(spark, docs, odd, empty):
     assert near_classes(empty).collect() == [] and keep_one_of_each(empty).collect() == []
 
 
+def test_near_links(spark, docs, empty):
+    """Every link is alike by brute force, at its similarity; links join all texts of a class; rows know their links, copies those of their text."""
+    rows = corpus()
+    text, bags = {i: t or "" for i, t, *_ in rows}, {}
+    for i, t in text.items():
+        w = WORD.findall(t)
+        bags[i] = Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
+    held = Counter(g for b in bags.values() for g in b)
+    weigh = {i: {g: c * (1 + math.log((len(rows) + 1) / (held[g] + 1))) for g, c in b.items()} for i, b in bags.items()}
+
+    def like(a, b):
+        least = lambda bag: sum(min(w, bag[b].get(g, 0)) for g, w in bag[a].items())
+        return max(least(bag) / (sum(bag[a].values()) + sum(bag[b].values()) - least(bag)) for bag in (weigh, bags))
+
+    links = near_links(docs).collect()
+    assert links and len({frozenset((r.a_id, r.b_id)) for r in links}) == len(links)
+    assert all(r.similarity >= 0.8 and r.similarity == pytest.approx(like(r.a_id, r.b_id), abs=1e-4) for r in links)
+    first = {t: min(i for i in text if text[i] == t) for t in text.values()}
+    of = {i: i for i in first.values()}
+
+    def root(i):
+        return i if of[i] == i else root(of[i])
+
+    for r in links:
+        p, q = root(r.a_id), root(r.b_id)
+        of[max(p, q)] = min(p, q)
+    found = {r.doc_id: r for r in near_duplicates(docs).collect()}
+    assert {i: root(first[text[i]]) for i in text} == {i: r.class_id for i, r in found.items()}
+    for i, r in found.items():
+        mine = [(x.similarity, x.b_id if x.a_id == first[text[i]] else x.a_id) for x in links if first[text[i]] in (x.a_id, x.b_id)]
+        assert r.n_links == len(mine) and (r.similarity, r.nearest_id) in (mine or [(None, None)]) and r.similarity == max((m[0] for m in mine), default=None)
+    assert near_links(empty).collect() == [] and near_duplicates(empty).collect() == []
+
+
 def test_near_dedup_follows_chains_within_a_bucket(spark):
     """A text like its neighbours only, not like the bucket's least one: links in a chain make one class."""
     words = [f"v{i}" for i in range(200)]
