@@ -196,6 +196,23 @@ def image_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("image_id").alias("pos"), *[m[v].alias(k) for k, v in names.items()], F.round(m["foreground_area_ratio"], 9).alias("share"))
 
 
+_TURN, _BYTES = "pos % 8 + 1", "1480 + pos % 100"
+_WRONG = f"CASE WHEN {_BYTES} < 1500 THEN 'The image file is too small (' || ({_BYTES}) || ' bytes)' WHEN pos % {_BROKEN} = 0 THEN 'The image could not be decoded' END"
+
+
+@query(f"""WITH t AS (SELECT pos, {_TURN} AS turn, {_WRONG} AS error, image_width AS w, image_height AS h, x1, x2, y1, y2 FROM ({_BOXES})),
+aside AS (SELECT pos, turn, error, CASE WHEN s THEN h ELSE w END AS w, CASE WHEN s THEN w ELSE h END AS h, CASE WHEN s THEN y1 ELSE x1 END AS x1, CASE WHEN s THEN y2 ELSE x2 END AS x2, CASE WHEN s THEN x1 ELSE y1 END AS y1, CASE WHEN s THEN x2 ELSE y2 END AS y2
+  FROM (SELECT *, turn >= 5 AND error IS NULL AS s FROM t))
+SELECT pos, CAST(w AS INTEGER) AS image_width, CAST(h AS INTEGER) AS image_height, error,
+  CASE WHEN error IS NULL THEN CAST(CASE WHEN turn IN (2, 3, 6, 7) THEN w - x2 ELSE x1 END AS INTEGER) END AS x1, CASE WHEN error IS NULL THEN CAST(CASE WHEN turn IN (2, 3, 6, 7) THEN w - x1 ELSE x2 END AS INTEGER) END AS x2,
+  CASE WHEN error IS NULL THEN CAST(CASE WHEN turn IN (3, 4, 7, 8) THEN h - y2 ELSE y1 END AS INTEGER) END AS y1, CASE WHEN error IS NULL THEN CAST(CASE WHEN turn IN (3, 4, 7, 8) THEN h - y1 ELSE y2 END AS INTEGER) END AS y2 FROM aside""")
+def turned_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images that their files' tags turn, and files of too few bytes."""
+    images = _images(spark, sf_dir).withColumn("orientation", F.col("image_id") % 8 + 1).withColumn("length", F.col("image_id") % 100 + 1480)
+    box = F.get("components", F.lit(0))
+    return image_components(images).select(F.col("image_id").alias("pos"), "image_width", "image_height", "error", *[box[c].alias(c) for c in ("x1", "x2", "y1", "y2")])
+
+
 @query(f"WITH {_SCORED} SELECT product_url, array_to_string(issues, ' | ') AS issues, CASE WHEN len(issues) > 0 THEN 'review' ELSE 'pass' END AS status, round(score, 4) AS consistency_score FROM scored")
 def scan_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings from markup and pixels to scored items in one plan."""
