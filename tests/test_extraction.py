@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from framelight.operators.extraction import best_of_srcset, crawl, dom_products, enriched, page_contexts, pagination_links, scrape, single_products
+from framelight.operators.extraction import best_of_srcset, crawl, dom_products, enriched, judged_images, page_contexts, pagination_links, scrape, single_products
 from framelight.operators.review import number_pages
 from framelight.sources import html
 from framelight.sources.html import page_nodes, structured_products
@@ -118,3 +118,16 @@ def test_text_beyond_what_is_kept_is_seen_by_nothing(spark, monkeypatch):
     assert whole.agg(F.max(F.char_length("text"))).first()[0] > 2000
     for what in (scrape, lambda n: scrape(n, strict=False), pagination_links, page_contexts):
         assert sorted(map(str, what(cut).collect())) == sorted(map(str, what(whole).collect())) != []
+
+
+def test_names_beside_images(spark):
+    """Only the first element of a kind counts, nearer ancestors win, noise and texts of other lengths do not; without any the image has no name."""
+    long = "word " * 40
+    pages = [
+        "<div><h3>No</h3><h3>Second Heading</h3><p><img src='/i/0.png'></p></div>", "<div><h3>No</h3><i class='name'>By Class</i><p><img src='/i/1.png'></p></div>", "<div><h1>Far Heading</h1><p><b class='title'>Near Title</b><img src='/i/2.png'></p></div>",
+        f"<div><h3>{long}</h3><p><img src='/i/3.png'></p></div>", "<div><h3>Newsletter</h3><h4>Real Name</h4><p><img src='/i/4.png'></p></div>", "<article>Whole Text <b><img src='/i/5.png'></b></article>", "<img src='/i/6.png'>", "<h2>After It</h2>", None,
+    ]
+    nodes = page_nodes(spark.createDataFrame([(i, URL, h) for i, h in enumerate(pages)], "page_id long, url string, html string"))
+    got = {r.page_id: r.name for r in judged_images(nodes).collect()}
+    assert got == {0: "Unnamed product", 1: "By Class", 2: "Near Title", 3: "Unnamed product", 4: "Real Name", 5: "Whole Text", 6: "Unnamed product"}
+    assert judged_images(nodes.limit(0)).collect() == []
