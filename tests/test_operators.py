@@ -14,7 +14,7 @@ from framelight.functions.urls import candidate_key, canonical_http_url, canonic
 from framelight.operators.audit import dedupe_rows, for_export, snapshot_summary, suggested_fix, upsert
 from framelight.operators.gate import dedupe_candidates, gated
 from framelight.operators.review import TUNING, edit_history, exception_identity, exception_suggestions, merged_tuning, number_pages, should_normalize, tuning_error, unique_names
-from framelight.operators.scoring import summarise
+from framelight.operators.scoring import issues, scale_limits, summarise
 from framelight.operators.totals import excluded_counts
 
 
@@ -130,6 +130,16 @@ def test_page_summary(spark, counts, want):
     assert one(spark, *summarise(*map(F.lit, counts))) == want
 
 
+def test_a_ratio_at_its_limit_is_fine(spark):
+    """0.82 is 18 % less and no more, whatever 1.0 - 0.18 is in binary."""
+    of = lambda **values: F.struct(*[F.lit(v).alias(k) for k, v in values.items()])
+    m, peer = of(segmentation_suspect=False, center_offset_x=0.0, center_x=0.5, min_edge_padding=0.1), of(count=3, line=0.5, align_median=0.5, align_axis="center_y")
+    frame, fix = of(ratio=1.0, too=0, off_line=False, bottom=False), of(resize=0, scale=1.0, move_x=False, move_y=False, x_shift=0.0, y_shift=0.0, toward="center")
+    told = lambda ratio: issues(m, F.lit("boxy"), peer, F.lit(ratio), frame, fix, F.array(F.lit("0.0"), F.lit("0.0")), 0.18, 0.055)
+    got = one(spark, *[told(r) for r in (0.41 / 0.5, 0.8199, 1.18, 1.1801)])
+    assert [len(g) for g in got] == [0, 1, 0, 1] and scale_limits(0.18) == (0.82, 1.18)
+
+
 def test_fixes(spark):
     texts = ["Primary body looks too zoomed out (30% smaller)", "x baseline y", "too large", "unknown", "a baseline b"]
     assert one(spark, suggested_fix(F.array(*map(F.lit, texts)))) == "Increase normalized product scale. Align the primary-body baseline with its compatible subgroup. Reduce normalized product scale. Review normalization settings for this product."
