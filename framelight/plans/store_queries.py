@@ -39,13 +39,12 @@ _HAS = {"current_image_file": "current", "normalized_image_file": "normalized",
 FROM part, (SELECT unnest(['current.png', 'normalized.png', 'before_after.png']) AS f) WHERE p_partkey % {_BROKEN} <> 0""")
 def package_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A package of the images before, after and side by side, written by the tasks that make them, and read back by the paths that its rows have."""
-    images = _to_frame(spark, sf_dir).withColumn("now", F.struct("data", "height", "width", "channels"))
+    images = _to_frame(spark, sf_dir, keep=("page_id", "name", "product_url")).withColumn("now", F.struct("data", "height", "width", "channels"))
     framed = normalise(images, canvas=_CANVAS).filter("error IS NULL")
-    names = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS image_id", f"{_NAMED} AS product_name", f"'{SHOP}/p/' || CAST(p_partkey AS STRING) AS product_url", "'' AS page_url",
-                                                                    "'Home' AS main_category", "'' AS subcategory", f"'Page ' || CAST(p_partkey div {PER_PAGE} AS STRING) AS page_label")
+    listed = {"product_name": F.col("name"), "page_url": F.lit(""), "main_category": F.lit("Home"), "subcategory": F.lit(""), "page_label": F.concat(F.lit("Page "), F.col("page_id").cast("string"))}
     now, size = F.col("now"), F.lit(_CANVAS)
     drawn = {"current": as_png(now["data"], now["height"], now["width"], now["channels"]), "normalized": as_png("canvas", size, size, F.lit(3)), "comparison": side_by_side(now["data"], now["height"], now["width"], now["channels"], F.col("canvas"), size)}
-    rows = with_media_paths(framed.join(names, "image_id").withColumns(drawn), _HAS)
+    rows = with_media_paths(framed.withColumns(listed | drawn), _HAS)
     root = shared_folder(spark, "media")
     write_package(media_files(rows, _HAS), root, "audit")
     back = read_package(spark, root, "audit")
