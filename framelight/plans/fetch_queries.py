@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framelight.functions.lineage import met
 from framelight.operators.extraction import crawl
 from framelight.operators.review import number_pages
 from framelight.plans.queries import query
@@ -42,7 +43,7 @@ def fetched_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each address leads, over at most five redirects, each checked."""
     urls = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey", f"{_URL} || '0' AS url")
     ended = followed(urls.select("url"), with_key(_responses(spark, sf_dir)), _LIMIT)
-    return urls.join(ended, "url").select(F.col("p_partkey").alias("pos"), "hops", "status", "final_url")
+    return urls.join(met(ended), "url").select(F.col("p_partkey").alias("pos"), "hops", "status", "final_url")
 
 
 _LAST = "(s_suppkey % 9 + 1)"
@@ -62,4 +63,4 @@ def listing_crawl_fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = moved.select("url").unionByName(there.select("url"))
     ended = followed(asked, with_key(moved.unionByName(there)), fetching.PAGE_BYTES).filter("error IS NULL")
     start = rows.filter("i = 1").selectExpr(f"'{SHOP}/l/' || CAST(s_suppkey AS STRING) AS listing_id", f"{way('go', 'i')} AS url")
-    return number_pages(crawl(start, ended.join(links, "final_url").select("url", "final_url", "links")))
+    return number_pages(crawl(start, ended.join(met(links), "final_url").select("url", "final_url", "links")))

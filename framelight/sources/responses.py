@@ -11,7 +11,7 @@ least status counts (then the least location, size and body); a chain that comes
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelight.functions.lineage import cut
+from framelight.functions.lineage import cut, met as merged
 from framelight.functions.urls import absolute, is_public_literal
 
 HOPS, PAGE_BYTES, IMAGE_BYTES = 5, 8 << 20, 25 << 20  # fixed values
@@ -38,7 +38,7 @@ def followed(urls: DataFrame, responses: DataFrame, most_bytes: int, hops: int =
     going = urls.select("url", F.col("url").alias("at"))
     ended = None
     for hop in range(hops + 1):
-        met = going.join(narrow, "at", "left")
+        met = going.join(merged(narrow), "at", "left")
         points = F.coalesce(F.col("status").isin(*REDIRECTS), F.lit(False))
         onward = absolute("at", "location")
         error = (
@@ -65,13 +65,13 @@ def fetched(urls: DataFrame, responses: DataFrame, most_bytes: int = PAGE_BYTES,
     ended = followed(asked, store, most_bytes, hops)
     bodies = store.select(F.col("url").alias("final_url"), "key", "body").dropDuplicates(["final_url", "key"])
     wanted = ended.withColumn("key", F.when(F.col("error").isNull(), F.col("key")))
-    return wanted.join(bodies, ["final_url", "key"], "left").select("url", "final_url", "hops", "status", "error", "body")
+    return wanted.join(merged(bodies), ["final_url", "key"], "left").select("url", "final_url", "hops", "status", "error", "body")
 
 
 def with_fetched(items: DataFrame, responses: DataFrame, url: str = "image_url", most_bytes: int = IMAGE_BYTES, body: str = "content") -> DataFrame:
     """items with error and ``body``: each address fetched once and joined back, so an item's failure stays its own."""
     got = fetched(items.select(F.col(url).alias("url")), responses, most_bytes).select(F.col("url").alias("at_"), "error", F.col("body").alias(body))
-    return items.withColumn("at_", F.trim(url)).join(got, "at_", "left").drop("at_")
+    return items.withColumn("at_", F.trim(url)).join(merged(got), "at_", "left").drop("at_")
 
 
 def decoded(body: Column, encoding: Column | None = None) -> Column:

@@ -5,7 +5,9 @@ import os
 import pytest
 
 from framelight.plans.catalog import catalog
+import framelight.plans.fetch_queries  # noqa: F401
 from framelight.plans.page_queries import _images, _to_frame
+from framelight.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
@@ -24,3 +26,9 @@ def test_images_are_dealt_to_tasks_and_never_joined(spark):
 
 def test_the_catalogue_is_dealt_to_tasks(spark):
     assert catalog(spark, SF).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("name", ["listing_products", "listing_products_loose", "listing_names_beside", "listing_rejections", "fetched_items", "fetched_chains"])
+def test_made_rows_are_never_sent_whole_to_the_driver(spark, name):
+    """On the smallest tables, where every estimate is small."""
+    assert "BroadcastExchange" not in QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
