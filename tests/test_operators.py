@@ -1,5 +1,6 @@
 """Functions and operators on rows written by hand."""
 
+import random
 import re
 from hashlib import sha256
 from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
@@ -213,3 +214,29 @@ def test_excluded_counts(spark):
         ("category", None, "Hob"): (2, 1), ("category", None, "Unknown"): (2, 2), ("category", None, "Oven"): (1, 3), ("confidence", None, "low"): (2, 1), ("confidence", None, "unknown"): (2, 2), ("confidence", None, "high"): (1, 3),
     }
     assert excluded_counts(spark.createDataFrame([], form)).collect() == []
+
+
+def test_remembered_settings_of_frequent_names(spark):
+    """Every item against every entry in plain Python: names with many entries, categories, archetypes and addresses in all combinations."""
+    rng = random.Random(5)
+    pick = lambda *x: rng.choice(x)
+    lib = [(f"{i:03}", pick("https://x.example/p/1", "https://x.example/p/2", "https://x.example/z", None), pick("model a", "model b"), pick("Oven", "oven", "Hood", None), pick("default", "Tall", None), pick("2024-01-01T00:00:00Z", "2024-01-02T00:00:00Z", "2024-01-03T00:00:00Z", None)) for i in range(160)]
+    goods = [(i, pick("https://X.example/p/1/?q=1", "https://x.example/p/2", "", None), pick("Model A", "model-b", "", "other"), pick("OVEN", "hood", "", None), pick("TALL", "default", None)) for i in range(60)]
+    items = spark.createDataFrame(goods, "item_id long, product_url string, name string, item_category string, item_archetype string")
+    library = spark.createDataFrame(lib, "identity string, product_url string, normalized_name string, category string, archetype string, saved_at string").withColumn("updated_at", F.lit(None).cast("string")).withColumn("created_at", F.lit(None).cast("string"))
+    got = exception_suggestions(items, library)
+    want = []
+    for item, url, name, c, a in goods:
+        url = (url or "").replace("X", "x").split("?")[0].rstrip("/")
+        found = []
+        for identity, theirs, named, their_c, their_a, at in lib:
+            same = lambda x, y: bool(x) and x.lower() == (y or "").lower()
+            if url and theirs == url:
+                found.append((-100, -int(at[8:10]) if at else 0, identity))
+            elif name and name.lower().replace("-", " ") == named:
+                found.append((-75 - 5 * same(c, their_c) - 5 * same(a, their_a), -int(at[8:10]) if at else 0, identity))
+        want += [(item, identity, -score, rank + 1) for rank, (score, _, identity) in enumerate(sorted(found)[:4])]
+    assert sorted((r.item_id, r.identity, r.match_score, r["rank"]) for r in got.collect()) == sorted(want)
+    # each join's side of entries is cut before the join
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("WindowGroupLimit") >= text.count("Join Inner") == 5
