@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framelight.functions.categories import category_scores, confidence, gate_mode, item_category, page_category
+from framelight.functions.fixed_values import CATEGORY_TERMS
 from framelight.functions.geometry import anchor_mode, profile, standard, subtype
 from framelight.functions.text import catalog_text, clean_text, is_noise_name, natural_key, percent, python_fixed, safe_name
 from framelight.functions.urls import candidate_key, canonical_http_url, canonical_listing_url, is_public_literal, match_url, page_number
@@ -240,3 +241,22 @@ def test_remembered_settings_of_frequent_names(spark):
     # each join's side of entries is cut before the join
     text = got._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("WindowGroupLimit") >= text.count("Join Inner") == 5
+
+
+def test_evidence_is_looked_for_in_what_was_found_only(spark):
+    """Scores and evidence against plain Python; a category alone needs no evidence, and its plan has none."""
+    texts = ["Oven & micro-wave oven", "built-in  OVEN hob", None, "", "coffee machine fridge refrigerator robot vacuum", "Range hood / cooker-hood", "nothing known"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    got = {r.id: [(s.score, s.category, s.evidence) for s in r.s] for r in rows.select("id", category_scores(F.col("t")).alias("s")).collect()}
+    for i, t in enumerate(texts):
+        plain = re.sub(r"\s+", " ", re.sub(r"[^a-z0-9+/ ]+", " ", re.sub("[_-]", " ", (t or "").lower()))).strip()
+        want = []
+        for place, (category, terms) in enumerate(CATEGORY_TERMS.items()):
+            found = [x for x in terms if x.replace("-", " ") in plain]
+            if category == "Oven" and ("microwave" in plain or "micro wave" in plain):
+                continue
+            if found:
+                want.append((-sum(max(2, len(x.replace("-", " ").split())) for x in found), place, category, found))
+        assert got[i] == [(-order, category, found) for order, _, category, found in sorted(want)]
+    text = rows.select(item_category(F.col("t"), F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "evidence" not in text
