@@ -1,5 +1,6 @@
 """Extraction from markup, on small pages with expected rows written by hand."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +132,22 @@ def test_names_beside_images(spark):
     got = {r.page_id: r.name for r in judged_images(nodes).collect()}
     assert got == {0: "Unnamed product", 1: "By Class", 2: "Near Title", 3: "Unnamed product", 4: "Real Name", 5: "Whole Text", 6: "Unnamed product"}
     assert judged_images(nodes.limit(0)).collect() == []
+
+
+def test_nodes_go_on_in_small_batches(spark):
+    """A batch of many pages is not held as nodes all at once."""
+    text = "<ul>" + "<li><b class='x'>a</b></li>" * 49 + "</ul>"
+    pages = pa.RecordBatch.from_pydict({"page_id": list(range(400)), "url": ["https://s.example/"] * 400, "html": [text] * 399 + [None]})
+    sizes = [len(b) for b in html.flattened(iter([pages]))]
+    assert sum(sizes) == 399 * 99 and max(sizes) < html.BATCH + 99
+    one = page_nodes(spark.createDataFrame([(7, "https://s.example/", text)], "page_id int, url string, html string")).filter("id = 2").first()
+    assert one.asDict() == {"page_id": 7, "url": "https://s.example/", "id": 2, "tag": "b", "attrs": {"class": "x"}, "path": [1, 0], "text": "a"}
+
+
+def test_pages_are_parsed_once_for_their_pagination(spark):
+    """What is left of a page after its links were looked at is pagers and links that may lead on."""
+    page = "<body>" + "".join(f"<a href='/about/{i}'>About {i}</a>" for i in range(48)) + "<a href='/c/1'>Top</a><div class='pagination'><a href='/c/1?page=2'>More</a></div><a rel='next' href='/c/1?page=3'>x</a><a href='/c/1?page=4'>4</a><a href='https://other.example/?page=5'>5</a></body>"
+    pages = spark.createDataFrame([(1, "https://s.example/c/1", page)], "page_id long, url string, html string")
+    found = pagination_links(page_nodes(pages))
+    assert [(r.pos, r.link) for r in found.orderBy("pos").collect()] == [(1, "https://s.example/c/1?page=3"), (2, "https://s.example/c/1?page=2"), (3, "https://s.example/c/1?page=4")]
+    assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString() and "MapInPandas" not in found._jdf.queryExecution().optimizedPlan().toString()
