@@ -44,3 +44,13 @@ def test_query_without_sql_runs(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_the_peer_audit_ends_in_its_pages_summaries(spark):
+    rows = QUERIES["peer_baseline_audit"](spark, SF).collect()
+    flagged = {}
+    for r in rows:
+        assert (r.status == "review") == (r.issues != "") and ("zoomed" in r.issues) == (r.zoom != "") and (not r.off_line or "comparable products" in r.issues)
+        flagged.setdefault(r.page_id, []).append(r.status == "review")
+    assert all((r.analyzed_count, r.flagged_count) == (len(flagged[r.page_id]), sum(flagged[r.page_id])) and r.page_score == 100.0 * (r.analyzed_count - r.flagged_count) / r.analyzed_count for r in rows)
+    assert any("unreliable" in r.issues for r in rows) and 0 < sum(map(sum, flagged.values())) < len(rows)
